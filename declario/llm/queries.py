@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import minhash
+from declario.llm import lines, minhash
 from declario.llm import urls
 from declario.llm.common import table
 
@@ -17,6 +17,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return got.select(
@@ -43,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op5_line_dedup": op5_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -84,7 +90,33 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id =
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) m ON m.d = w.doc_id
 """
 
+OP5_SQL = r"""
+WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+ y AS (SELECT doc_id, i AS no, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM x,
+   LATERAL (SELECT unnest(generate_series(1, len(ls))) AS i)),
+ z AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS seq,
+   len(list_filter(string_split_regex(line, '\s+'), lambda t: t <> '')) AS w FROM y WHERE line <> ''),
+ c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY seq) AS cw FROM z),
+ runs AS (
+  SELECT a.doc_id, a.seq AS s, min(b.seq) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id
+   AND b.seq BETWEEN a.seq AND a.seq + 25 AND b.cw - a.cw + a.w >= 25 GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.seq), b.seq FROM c a JOIN c b ON a.doc_id = b.doc_id
+   AND a.seq BETWEEN b.seq - 25 AND b.seq AND b.cw - a.cw + a.w >= 25 GROUP BY b.doc_id, b.seq),
+ whole AS (SELECT doc_id, list(line ORDER BY seq) AS l FROM c GROUP BY 1),
+ named AS (SELECT r.*, array_to_string(list_slice(l, s, e), chr(10)) AS k FROM runs r JOIN whole USING (doc_id)),
+ firsts AS (SELECT k, min((doc_id, s)) AS f FROM named GROUP BY 1),
+ dead AS (SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS seq FROM named JOIN firsts USING (k) WHERE (doc_id, s) <> f),
+ gone AS (SELECT c.doc_id, list(no) AS g, count(*) AS n FROM dead JOIN c USING (doc_id, seq) GROUP BY 1),
+ total AS (SELECT doc_id, count(*) AS m FROM c GROUP BY 1)
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n, 0) AS n_removed,
+ CASE WHEN n IS NULL THEN text WHEN n = m THEN '' ELSE array_to_string(list_transform(
+  list_filter(generate_series(1, len(ls)), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END AS text
+FROM x LEFT JOIN gone USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
     "op2_minhash": OP2_SQL,
     "op10_decontaminate": OP10_SQL,
 }
