@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import lines, minhash
+from declario.llm import lines, minhash, pieces
 from declario.llm import urls
 from declario.llm.common import table
 
@@ -17,6 +17,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, keep_text=False).select("doc_id", "pieces.*")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
@@ -48,6 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
