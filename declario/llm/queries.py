@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import lines, minhash, pieces
+from declario.llm import lines, minhash, pieces, private
 from declario.llm import urls
 from declario.llm.common import table
 
@@ -27,6 +27,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = private.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = private.listed()
+    counts = [
+        F.size(F.filter("private.base", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{k}")
+        for i, k in enumerate(private.KINDS)
+    ]
+    return got.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return got.select(
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op7_pii": op7_pii,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
