@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import lines, minhash, pieces, private
+from declario.llm import language, lines, minhash, pieces, private, quality
 from declario.llm import urls
-from declario.llm.common import table
+from declario.llm.common import held_out, table
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,35 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, keep_text=False).select("doc_id", "pieces.*")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages, logp = language.train(docs)
+    got = language.identify(docs.select("doc_id", "text"), languages, logp)
+    return got.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    got = quality.score(docs, model)
+    return got.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = private.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = private.listed()
@@ -64,7 +88,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_language": op4_language,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
