@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import language, lines, minhash, pieces, private, quality
+from declario.llm import language, lines, minhash, neighbours, pieces, private, quality
 from declario.llm import urls
 from declario.llm.common import held_out, table
 
@@ -61,6 +61,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return got.select(
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_neighbours": op8_neighbours,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
