@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
-from declario.llm import language, lines, minhash, neighbours, pieces, private, quality
+from declario.llm import extract, language, lines, minhash, neighbours, pieces, private, quality
 from declario.llm import urls
 from declario.llm.common import held_out, table
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -91,6 +96,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract": op1_extract,
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language": op4_language,
