@@ -93,11 +93,11 @@ class Model:
         base = tuple(own.pop(a.name, a) for a in self.attributes)
         return replace(self, name=name, attributes=base + tuple(own.values()), **more)
 
-    def restrict(self, name: str, **options) -> Model:
+    def restrict(self, attribute: str, **options) -> Model:
         """Merge options into an attribute."""
-        if name not in [a.name for a in self.attributes]:
-            raise KeyError(f"{self.name} has no attribute {name}")
-        return replace(self, attributes=tuple(replace(a, **options) if a.name == name else a for a in self.attributes))
+        if attribute not in [a.name for a in self.attributes]:
+            raise KeyError(f"{self.name} has no attribute {attribute}")
+        return replace(self, attributes=tuple(replace(a, **options) if a.name == attribute else a for a in self.attributes))
 
     def include(self, other: Model) -> Model:
         """Import another model's attributes and choices; one with a root can't be."""

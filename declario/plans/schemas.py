@@ -188,13 +188,11 @@ def components(files: DataFrame, path: str = "path", text: str = "value") -> Dat
     schema = "struct<_targetNamespace: string, " + ", ".join(f"{c}: {part}" for c in COMPONENTS) + ">"
     doc = F.from_xml(text, schema, {"ignoreNamespace": "true"})
     empty = F.array().cast("array<struct<kind: string, name: string, type: string>>")
-    rows = [
-        F.coalesce(
-            F.transform(F.col(f"d.{c}"), lambda x, c=c: F.struct(F.lit(c).alias("kind"), F.coalesce(x["_name"], x["_namespace"], x["_schemaLocation"]).alias("name"), x["_type"].alias("type"))),
-            empty,
-        )
-        for c in COMPONENTS
-    ]
+
+    def one(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), F.coalesce(x["_name"], x["_namespace"], x["_schemaLocation"]).alias("name"), x["_type"].alias("type"))
+
+    rows = [F.coalesce(F.transform(F.col(f"d.{c}"), one(c)), empty) for c in COMPONENTS]
     out = files.select(F.col(path).alias("file"), doc.alias("d"))
     out = out.select("file", F.col("d._targetNamespace").alias("target_namespace"), F.explode(F.concat(*rows)).alias("c"))
     return out.select("file", "c.kind", "c.name", "c.type", "target_namespace")

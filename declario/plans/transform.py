@@ -42,7 +42,7 @@ class ModelMap:
             if m.nested:
                 c = F.when(c.isNotNull(), F.struct(*m.nested.columns(_getter(c))))
             elif m.each:
-                c = F.transform(c, lambda x, m=m: F.struct(*m.each.columns(_getter(x))))
+                c = F.transform(c, _packer(m.each))
             if m.forth:
                 c = m.forth(c)
             *above, last = m.target.split(".")
@@ -53,6 +53,10 @@ class ModelMap:
         return _packed(tree)
 
 
+def _packer(m: ModelMap) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*m.columns(_getter(x)))
+
+
 def _getter(c: Column) -> Callable[[str], Column]:
     def get(path: str) -> Column:
         out = c
