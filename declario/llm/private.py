@@ -218,6 +218,11 @@ def personal_data(
     return both.withColumn(out, found).select(*docs.columns, out)
 
 
+def is_kind(kind: str):
+    """A test of a span's kind; a lambda of one argument, for a second would be the index."""
+    return lambda k: k == KINDS.index(kind)
+
+
 def listed(private: str = "private") -> tuple[Column, Column]:
     """(base, all): spans as kind:start:end, by kind, then start."""
     names = F.array(*map(F.lit, KINDS))

@@ -59,10 +59,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = private.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = private.listed()
-    counts = [
-        F.size(F.filter("private.base", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{k}")
-        for i, k in enumerate(private.KINDS)
-    ]
+    kinds = F.transform("private.base", lambda s: s.kind)
+    counts = [F.size(F.filter(kinds, private.is_kind(k))).cast("long").alias(f"n_{k}") for k in private.KINDS]
     return got.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
