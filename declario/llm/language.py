@@ -120,7 +120,7 @@ def classify(text: str | None, logp: np.ndarray, bits: int) -> tuple[int, float]
     return best, float(1 / np.exp(odds - odds[best]).sum())
 
 
-def _classifier(languages: list[str], model, bits: int, text_at: int):
+def _classifier(languages: list[str], model, bits: int, text_at: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [classify(x.as_py(), model.value, bits) if languages else (-1, 0.0) for x in b.column(text_at)]
@@ -129,7 +129,7 @@ def _classifier(languages: list[str], model, bits: int, text_at: int):
                 pa.array([s for _, s in got], pa.float64()),
             ]
             found = pa.StructArray.from_arrays(cols, names=["lang", "score"])
-            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, out])
 
     return run
 
@@ -145,4 +145,4 @@ def identify(
     model = docs.sparkSession.sparkContext.broadcast(logp)
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
     kind = T.StructType([*fields, T.StructField(out, FOUND)])
-    return docs.mapInArrow(_classifier(languages, model, bits, docs.columns.index(text)), kind)
+    return docs.mapInArrow(_classifier(languages, model, bits, docs.columns.index(text), out), kind)

@@ -11,7 +11,8 @@ contexts, counted over the whole corpus. Masking e as a generalisation g(e) (an
 email's domain, half an address, a card's issuer, a phone's country) already
 admits IC(g(e)) = -log2(n(g) / N); a term that stands with e in at least
 ``min_together`` lines and in more than that reveals is disclosed when
-PMI(t; e) > max(IC(g(e)), alpha * IC(e)). Its occurrences in lines with e become
+PMI(t; e) > max(IC(g(e)), alpha * IC(e)), the first only where g(e) stands in
+more lines than e and so is more general. Its occurrences in lines with e become
 spans of kind "term". sanitise() writes base spans as their generalisation and
 removes terms.
 
@@ -162,13 +163,12 @@ def term_spans(
         F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
     )
     n_term = source.where("text IS NOT NULL").select(F.explode(per_line).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = source.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n"))
-    ic = lambda c: -F.log2(F.col(c) / F.col("n"))
+    n = F.lit(source.where("text IS NOT NULL").agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0)
+    ic = lambda c: -F.log2(F.col(c) / n)
     told = (
         together.join(n_term, "term")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("pmi", F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
-        .where(F.col("pmi") > F.greatest(ic("n_g"), F.lit(alpha) * ic("n_e")))
+        .withColumn("pmi", F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
+        .where(F.col("pmi") > F.greatest(F.when(F.col("n_g") > F.col("n_e"), ic("n_g")), F.lit(alpha) * ic("n_e")))
         .select("kind", "entity", "term")
     )
     shown = told.groupBy("kind", "entity").agg(F.collect_set("term").alias("terms"))

@@ -139,7 +139,7 @@ def train(labelled=LABELLED, bits: int = 14, steps: int = 400, rate: float = 0.5
     return w.astype(np.float32), float(b)
 
 
-def _scorer(w: np.ndarray, b: float, bits: int, at: tuple[int, int], kinds: pa.DataType):
+def _scorer(w: np.ndarray, b: float, bits: int, at: tuple[int, int], name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows)
@@ -148,7 +148,7 @@ def _scorer(w: np.ndarray, b: float, bits: int, at: tuple[int, int], kinds: pa.D
                 f = features(h, p, bits)
                 out[i] = b + (w[f].sum() / np.sqrt(len(f)) if f else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(1 / (1 + np.exp(-out)))], names=[*batch.schema.names, "blocked"]
+                [*batch.columns, pa.array(1 / (1 + np.exp(-out)))], names=[*batch.schema.names, name]
             )
 
     return score
@@ -165,7 +165,7 @@ def filter_urls(
     df = pages.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
     at = (df.columns.index(host), df.columns.index(path))
     df = df.mapInArrow(
-        _scorer(w, b, bits, at, None), T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
+        _scorer(w, b, bits, at, score), T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
     )
     found, action = rule_of(F.col(host), F.col(path), rules)
     by_model = F.when(F.col(score) >= threshold, "block").otherwise("allow")
