@@ -54,6 +54,12 @@ LABELLED = [
     ("https://track-clicks.example/fr/3", 1),
     ("https://xxx-videos.example/en/9", 1),
     ("http://porn-tube.example/de/2", 1),
+    ("https://adult-x.example/en/27", 1),
+    ("http://www.adult-x.example/de/5.html", 1),
+    ("https://adult-dates.example/fr/31", 1),
+    ("https://adult-videos.example/es/8", 1),
+    ("http://blog.casino-win.example/en/2", 1),
+    ("https://poker-casino.example/en/29.html", 1),
     ("https://www.therti.example/en/618/", 0),
     ("http://thering.example/en/328/", 0),
     ("https://blog.ththly.example/fr/777?page=2", 0),
@@ -80,6 +86,18 @@ LABELLED = [
     ("http://m.therou.example/en/474.html", 0),
     ("https://www.theatre.example/en/tickets", 0),
     ("http://music-school.example/de/kurse", 0),
+    ("http://tionsh.example/fr/34463?page=2&ref=x", 0),
+    ("https://www.therer.example/es/11", 0),
+    ("https://tionion.example/en/22750", 0),
+    ("http://blog.ondate.example/es/9021/", 0),
+    ("https://gardening-tips.example/en/31", 0),
+    ("https://m.city-news.example/de/1999.html", 0),
+    ("http://www.thansh.example/fr/401", 0),
+    ("https://ththre.example/es/25", 0),
+    ("https://anther.example/fr/1203/", 0),
+    ("http://thered.example/de/88?utm_source=feed", 0),
+    ("https://blog.thetion.example/es/640.html", 0),
+    ("http://www.old-books.example/fr/77", 0),
 ]
 
 
