@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from declario.llm.common import discard, materialise
 
+RARE = 16
 _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -147,8 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, each small-star step the smaller ones; both keep the components.
     """
     now = materialise(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
-    seen = None
-    while True:
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -162,10 +162,55 @@ def components(edges: DataFrame) -> DataFrame:
         )
         before, now = now, materialise(small)
         discard(before)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        seen = mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """True if every larger end hangs on one smaller end that hangs on nothing."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("k")), F.struct(F.col("v").alias("x"), F.lit(0).alias("k")))).alias("e"))
+    bad = ends.groupBy("e.x").agg(F.sum("e.k").alias("up"), F.min("e.k").alias("low")).where("up > 1 OR (up = 1 AND low = 0)")
+    return bad.isEmpty()
+
+
+def _exploder(ngram: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingles(words(t.as_py()), ngram) for t in b.column(1)]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(s) for s in own])))
+            flat = np.concatenate(own) if own else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(flat.view(np.int64))], names=["id", "s"])
+
+    return explode
+
+
+def unresolved(crowd: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``crowd`` (key, id, comp) in different components that may be
+    linked. The bound on an intersection is exact, see above."""
+    ids = crowd.select("id", "comp").distinct()
+    own = texts.join(ids.select("id"), "id").select("id", "text")
+    own = materialise(own.mapInArrow(_exploder(ngram), "id long, s long"))
+    rare = own.join(own.groupBy("s").agg(F.count("*").alias("c")).where(f"c <= {RARE}"), "s")
+    sizes = own.groupBy("id").agg(F.count("*").alias("n"))
+    odd = rare.groupBy("id").agg(F.count("*").alias("r"))
+    known = ids.join(sizes, "id").join(odd, "id", "left").select("id", "comp", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("s"))
+    known = materialise(known)
+    other = known.select(F.col("id").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
+
+    listed = F.sort_array(F.collect_list("id"))  # RARE ids at most
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    together = rare.where("c > 1").groupBy("s").agg(listed.alias("ids")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("q"))
+    fits = f"comp <> other AND 100 * (least(s, t) + q) >= {percent} * (n + m - least(s, t) - q)"
+    by_rare = together.join(known.withColumnRenamed("id", "a"), "a").join(other, "b").where(fits).select("a", "b")
+
+    crowd = materialise(crowd.select("key", "id").join(known, "id"))
+    least = crowd.groupBy("key").agg(F.min("n").alias("m"))
+    near = crowd.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(m, s) - s)").drop("m")
+    near = near.join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")  # a key for each band at most
+    near = materialise(near)
+    right = near.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("keys").alias("keys_b"))
+    fits = f"id < b AND comp <> other AND 100 * least(s, t) >= {percent} * (n + m - least(s, t)) AND array_min(array_intersect(keys, keys_b)) = key"
+    by_bucket = near.join(right, "key").where(fits).select(F.col("id").alias("a"), "b")
+    return by_rare.union(by_bucket).distinct()
 
 
 def _free(df: DataFrame) -> None:
@@ -182,7 +227,7 @@ def near_duplicates(
     percent: int = 75,
     bands: int = 28,
     rows: int = 4,
-    pivot_rounds: int = 4,
+    pivot_rounds: int = 2,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -202,53 +247,45 @@ def near_duplicates(
 
     each = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     each = each.select("id", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = materialise(each.join(shared, "key"))
     _free(buckets)
-    asked = buckets.select("id").distinct()
+    asked = materialise(buckets.groupBy("id").agg(F.sum("c").alias("company")))
     texts = materialise(docs.join(asked, "id").where("text IS NOT NULL"))
     _free(texts)
     labels = asked.withColumn("comp", F.col("id"))
-    tested, merges, outright = None, None, False
+    tested, merges = None, None
     for turn in range(pivot_rounds + 1):
-        open_ = buckets.join(labels, "id")
+        open_ = buckets.join(labels, "id").select("key", "id", "comp", "company")
+        chance = F.lit(0) if turn == 0 else F.xxhash64("id", F.lit(turn))
         differ = open_.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("p"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
+            F.max(F.struct(chance, "company", -F.col("id"), "id", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
         differ = differ.where("low < high").select("key", F.col("p.id").alias("b"), F.col("p.comp").alias("other"))
-        outright = outright or turn == pivot_rounds
-        if not outright:
+        if turn < pivot_rounds:
             pairs = open_.join(differ, "key").where("comp <> other").groupBy("id", "b").agg(F.count("*").alias("k"))
             if tested is not None:
                 pairs = pairs.join(tested.selectExpr("a AS id", "b"), ["id", "b"], "left_anti")
             pairs = pairs.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
         else:
-            left = open_.join(differ.select("key"), "key")
-            right = left.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
-            pairs = left.join(right, "key").where("id < b AND comp <> other").select(F.col("id").alias("a"), "b").distinct()
-            done = tested.union(tested.selectExpr("b AS a", "a AS b"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            crowd = materialise(open_.join(differ.select("key"), "key").drop("company"))
+            if crowd.isEmpty():
+                break
+            pairs = unresolved(crowd, texts, ngram, percent)
+            if tested is not None:
+                pairs = pairs.join(tested.union(tested.selectExpr("b AS a", "a AS b")), ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         if pairs.isEmpty():
-            if outright:
-                break
-            outright = True
             continue
         links = materialise(confirmed(pairs, texts, ngram, percent, 100))
         _free(links)
         tested = pairs if tested is None else tested.union(pairs)
+        if links.isEmpty():
+            continue
         merges = links if merges is None else merges.union(links)
-        if not links.isEmpty():
-            labels = asked.join(components(merges), F.col("id") == F.col("node"), "left").select(
-                "id", F.coalesce("component", "id").alias("comp")
-            )
-            labels = materialise(labels)
-        if outright:
-            break
-        outright = links.isEmpty()
-    found = classes.join(labels.withColumnRenamed("comp", "found"), "id", "left").select(
+        labels = asked.join(components(merges), F.col("id") == F.col("node"), "left")
+        labels = materialise(labels.select("id", "company", F.coalesce("component", "id").alias("comp")))
+    found = classes.join(labels.selectExpr("id", "comp AS found"), "id", "left").select(
         "digest", F.coalesce("found", "id").alias("component_id"), "c", F.col("id").alias("first_id")
     )
     found = found.where("c > 1 OR component_id <> first_id").select("digest", "component_id")
