@@ -288,7 +288,8 @@ def near_duplicates(
     found = classes.join(labels.selectExpr("id", "comp AS found"), "id", "left").select(
         "digest", F.coalesce("found", "id").alias("component_id"), "c", F.col("id").alias("first_id")
     )
-    found = found.where("c > 1 OR component_id <> first_id").select("digest", "component_id")
+    # Written first, so that the last join has nothing but exchanges below it and a hot class can be split.
+    found = materialise(found.where("c > 1 OR component_id <> first_id").select("digest", "component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return (
         sketches.select("id", "n", "digest")
