@@ -12,11 +12,12 @@ emissions the next bound is the threshold of the inclusion probabilities
 1 - exp(-exp(log p - threshold)).
 
 Random numbers are hashes of row key, sample and position: any batching or a
-rerun after a lost executor gives the same samples.
+rerun after a lost executor gives the same samples (sums may differ in the last
+digits of a double).
 
-A piece holds white space only in front and never a line break, so the lattice
-is a chain of small ones, shared by all occurrences of a word; a vocabulary for
-which that fails is searched whole. Piece probabilities: a unigram model's
+A piece holds white space only in front and never a line break, nor letters and
+other characters together, so the lattice is a chain of small ones, shared by
+all occurrences of a word; a vocabulary for which that fails is searched whole. Piece probabilities: a unigram model's
 scores are log-probabilities; a BPE model's scores are only merge ranks, and
 the rank is taken as frequency by Zipf's law, p ~ 1 / (rank + 2.7). Characters
 that no piece has become their byte pieces, as one edge.
@@ -27,6 +28,8 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -67,10 +70,11 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The words seen so far, as one array of edges sorted by start node.
+    """The words seen so far, as one array of edges by start node, longest first.
 
-    ``cum`` of an edge is its node's number plus the probability of leaving the
-    node by it or an earlier one, so one search finds a random edge of any node.
+    ``share`` of an edge is the probability of leaving its node by it or an
+    earlier one. The longest piece is mostly the likeliest, so a random edge is
+    found in few steps from the first.
     """
 
     def __init__(self, model: bytes):
@@ -86,12 +90,12 @@ class Lattices:
             scores = {i: -float(np.log(r + 2.7)) for r, i in enumerate(order)}
         self.logp = scores
         self.lowest = min(scores.values())
-        apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.piece)
-        self.words = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if apart else r"(?s).+").findall
-        self.apart = apart
+        self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.piece)
+        self.words = re.compile(self.cuts() if self.apart else r"(?s).+").findall
         self.by_id = np.full(sp.get_piece_size(), self.lowest)
         self.by_id[list(scores)] = list(scores.values())
-        self.by_length = {}
+        self.by_length, self.seen, self.begun = {}, {}, {}
+        self.bytes = {i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         for n in {len(p) for p in self.piece}:
             own = [p for p in self.piece if len(p) == n]
             c = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
@@ -100,38 +104,69 @@ class Lattices:
             h = np.zeros(len(own), np.uint64)
             for i in range(n):
                 h = h * BASE + c[:, i]
+                self.begun.setdefault(i + 1, np.zeros(1 << 20, bool))[h >> np.uint64(44)] |= i + 1 < n
             order = np.argsort(h)
             self.by_length[n] = h[order], np.array([self.piece[p] for p in own])[order]
-        self.skip = len(sp.encode("\n"))
+            self.seen[n] = np.zeros(1 << 20, bool)  # by the top bits of the hash
+            self.seen[n][h >> np.uint64(44)] = True
+        self.skip_ids = sp.encode("\n")
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.forget()
 
+    def cuts(self) -> str:
+        """A pattern of stretches that no piece reaches over: lines and words, and
+        if the vocabulary allows it, letters apart from all other characters."""
+        inner = [p.lstrip(SPACE) for p in self.piece]
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        mixed = lambda p, out: len({bool(letter(c)) and c not in out for c in p}) > 1
+        out = {c for p in inner if mixed(p, "") for c in p if letter(c) and not c.isalpha()}
+        if any(mixed(p, out) for p in inner):
+            return rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
+        out = "".join(map(re.escape, sorted(out)))
+        letters = rf"[^\W\d_{out}]+"
+        return rf"\n|{SPACE}*{letters}|{SPACE}*(?:[^\w\n{SPACE}]|[\d_{out}])+|{SPACE}+"
+
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.number: dict[str, int] = {}
+        self.word_at, self.word_size = (np.empty(0, np.int64) for _ in range(2))  # by word: first node, nodes
         self.n_nodes = 0
-        self.logq, self.cum = np.empty(0), np.empty(0)
+        self.logq, self.share = np.empty(0), np.empty(0)
         self.step, self.n_ids, self.id_at, self.ids = (np.empty(0, np.int32) for _ in range(4))
         self.first = np.zeros(1, np.int64)  # of each node, its first edge
         self.own_at, self.own_n, self.own = (np.empty(0, np.int64) for _ in range(3))  # the model's ids, by word
-        self.number: dict[str, int] = {}
 
-    def own_ids(self, words: list[str]) -> list[list[int]]:
-        """The model's ids of each word."""
-        if not self.apart:
-            return self.sp.encode([w[1:].replace(SPACE, " ") for w in words])
-        texts = [w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in words]
-        return [x if w[0] == SPACE else x[self.skip :] for w, x in zip(words, self.sp.encode(texts), strict=True)]
+    def own_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of all words in a row, and how many each has.
+
+        Words are encoded some hundred at a time, a line break in front of each:
+        no piece reaches over one.
+        """
+        line = self.skip_ids[-1]
+        if not self.apart or line not in self.bytes:
+            each = self.sp.encode([w[1:].replace(SPACE, " ") for w in words])
+            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+        said = ["" if w == "\n" else w.replace(SPACE, " ") for w in words]
+        parts = ["\n" + "\n".join(said[i : i + 200]) for i in range(0, len(said), 200)]
+        lead = len(self.skip_ids) - 1
+        flat = np.fromiter(chain.from_iterable(x[lead:] for x in self.sp.encode(parts)), np.int32)
+        heads = np.flatnonzero(flat == line)
+        sizes = np.diff(np.append(heads, len(flat))) - 1
+        flat = np.delete(flat, heads)
+        if "\n" in words:  # the break itself
+            k = words.index("\n")
+            flat, sizes[k] = np.insert(flat, sizes[:k].sum(), line), 1
+        return flat, sizes
 
     def edges_of(self, codes: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, piece id) of the pieces in the words, by start and length.
+        """(start, length, piece id) of the pieces in the words, by start, longest first.
         ``dist``: characters to the word's end. Id -1: a character that no piece has."""
         start, length, ids = [], [], []
         mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         h, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
         for n in range(1, self.longest + 1):
-            if n > 1:
-                live = dist[at] >= n
+            if n > 1:  # only where some piece may still begin so
+                live = self.begun[n - 1][h >> np.uint64(44)] & (dist[at] >= n)
                 at, h = at[live], h[live]
             if not len(at):
                 break
@@ -139,16 +174,18 @@ class Lattices:
             known, of = self.by_length.get(n, (None, None))
             if known is None:
                 continue
-            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[k] == h
+            maybe = np.flatnonzero(self.seen[n][h >> np.uint64(44)])
+            k = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+            hit = known[k] == h[maybe]
             if n == 1:
                 start.append(at)
-                ids.append(np.where(hit, of[k], -1))
+                ids.append(np.full(len(at), -1))
+                ids[-1][maybe[hit]] = of[k[hit]]
             else:
-                start.append(at[hit])
+                start.append(at[maybe[hit]])
                 ids.append(of[k[hit]])
             length.append(np.full(len(start[-1]), n))
-        start, length, ids = (np.concatenate(x) for x in (start, length, ids))
+        start, length, ids = (np.concatenate(x[::-1]) for x in (start, length, ids))
         order = np.argsort(start, kind="stable")
         return start[order], length[order], ids[order]
 
@@ -159,21 +196,28 @@ class Lattices:
         dist = np.repeat(ends, size) - np.arange(len(codes))
         start, length, ids = self.edges_of(codes, dist)
         logp = np.where(ids < 0, self.lowest - 10.0, self.by_id[ids])
-        back = np.zeros(len(codes) + 1)
-        over = dist[start] > length  # the edge ends inside its word
-        order = np.argsort(dist[start], kind="stable")
-        bounds = np.searchsorted(dist[start][order], np.arange(1, dist.max() + 2))
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            e = order[low:high]
-            score = logp[e] + np.where(over[e], back[start[e] + length[e]], 0.0)
-            first = np.flatnonzero(np.diff(start[e], prepend=-1))
-            most = np.maximum.reduceat(score, first)
-            score -= np.repeat(most, np.diff(np.append(first, len(e))))
-            back[start[e][first]] = most + np.log(np.add.reduceat(np.exp(score), first))
-        logq = np.minimum(logp + np.where(over, back[start + length], 0.0) - back[start], 0.0)
+        # sums from behind, on nodes with one more behind each word, whose sum is 0
+        node = start + np.repeat(np.arange(len(words)), size)[start]
+        back = np.zeros(len(codes) + len(words))
+        order = np.argsort(dist[start].astype(np.int16) if dist.max() < 1 << 15 else dist[start], kind="stable")
+        own, score = node[order], logp[order]
+        ahead = own + length[order]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        sizes = np.diff(np.append(heads, len(own)))
+        at = np.searchsorted(dist[start[order[heads]]], np.arange(1, dist.max() + 2)).tolist()
+        heads_ = [*heads.tolist(), len(own)]
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            low, high = heads_[i], heads_[j]
+            x = score[low:high] + back[ahead[low:high]]
+            first = heads[i:j] - low
+            most = np.maximum.reduceat(x, first)
+            x = np.exp(x - np.repeat(most, sizes[i:j]))
+            back[own[heads[i:j]]] = most + np.log(np.add.reduceat(x, first))
+        logq = np.minimum(logp + back[node + length] - back[node], 0.0)
         first = np.searchsorted(start, np.arange(len(codes)))
-        total = np.cumsum(np.exp(logq))
-        total -= np.repeat(total[first] - np.exp(logq[first]), np.diff(np.append(first, len(start))))
+        q = np.exp(logq)
+        total = np.cumsum(q)
+        total -= np.repeat(total[first] - q[first], np.diff(np.append(first, len(start))))
         total = np.minimum(total, 1.0)
         total[np.append(first[1:], len(start)) - 1] = 1.0
         n_ids = np.ones(len(ids), np.int32)
@@ -187,22 +231,22 @@ class Lattices:
         self.n_ids = np.concatenate([self.n_ids, n_ids])
         self.ids = np.concatenate([self.ids, flat])
         self.logq = np.concatenate([self.logq, logq])
-        self.cum = np.concatenate([self.cum, start + self.n_nodes + total])
+        self.share = np.concatenate([self.share, total])
         self.step = np.concatenate([self.step, length.astype(np.int32)])
         edge = self.first[-1]
         self.first = np.concatenate([self.first[:-1], edge + first, [edge + len(start)]])
-        own = self.own_ids(words)
-        sizes = np.array([len(x) for x in own], np.int64)
+        own, sizes = self.own_ids(words)
         self.own_at = np.concatenate([self.own_at, len(self.own) + np.cumsum(sizes) - sizes])
         self.own_n = np.concatenate([self.own_n, sizes])
-        self.own = np.concatenate([self.own, np.array([i for x in own for i in x], np.int32)])
-        self.number.update({w: len(self.number) + i for i, w in enumerate(words)})
-        self.at.update(zip(words, (self.n_nodes + ends - size).tolist(), strict=True))
+        self.own = np.concatenate([self.own, own])
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.word_at = np.concatenate([self.word_at, self.n_nodes + ends - size])
+        self.word_size = np.concatenate([self.word_size, size])
         self.n_nodes += len(codes)
 
     def bytes_of(self, c: str) -> np.ndarray:
         ids = [self.byte[b] for b in c.encode()]
-        return np.array(ids if all(map(self.sp.is_byte, ids)) else [self.sp.unk_id()], np.int32)
+        return np.array(ids if self.bytes.issuperset(ids) else [self.sp.unk_id()], np.int32)
 
 
 class Batch:
@@ -212,14 +256,13 @@ class Batch:
         if len(lat.step) > EDGES:
             lat.forget()
         parts = [lat.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {w: None for p in parts for w in p if w not in lat.at}
+        fresh = {w: None for p in parts for w in p if w not in lat.number}
         if fresh:
             lat.learn(list(fresh))
         self.lat, self.n = lat, len(texts)
         flat = [w for p in parts for w in p]
-        self.base = np.fromiter(map(lat.at.__getitem__, flat), np.int64, len(flat))
         self.word = np.fromiter(map(lat.number.__getitem__, flat), np.int64, len(flat))
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.base, size = lat.word_at[self.word], lat.word_size[self.word]
         ends = np.cumsum(size)
         self.size, self.start = size, ends - size
         self.total = int(ends[-1]) if len(flat) else 0
@@ -249,7 +292,12 @@ class Batch:
                 if not len(which):
                     break
             at = start + offset
-            edge = np.searchsorted(lat.cum, base + offset + uniform(self.keys[doc], salt, at - self.from_[doc]), side="right")
+            u = uniform(self.keys[doc], salt, at - self.from_[doc])
+            edge = lat.first[base + offset]
+            more = np.flatnonzero(lat.share[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[lat.share[edge[more]] <= u[more]]
             path[at] = edge
             offset = offset + lat.step[edge]
 
@@ -289,59 +337,66 @@ class Batch:
                 break
             low = np.searchsorted(places, self.from_[chosen])
             high = np.searchsorted(places, self.to[chosen])
-            owner = np.full(n, -1, np.int64)
-            owner[chosen] = np.arange(len(chosen))
-            own = np.repeat(np.arange(len(chosen)), high - low)
-            before = sums[:-1] - sums[low][own]
-            q = np.exp(logq)
-            begin = np.array([fork[int(d)][0] for d in chosen])
-            fresh = places >= begin[own]
-            with np.errstate(divide="ignore"):
-                mass = np.log(np.maximum(1.0 - q, 0.0))
-                at_fork = np.flatnonzero(places == begin[own])
-                for i in at_fork:
-                    gone = fork[int(chosen[own[i]])][2]
-                    if gone:
-                        mass[i] = np.log(max(0.0, 1.0 - q[i] - sum(np.exp(lat.logq[list(gone)]))))
-                mass[(mass < -30) | ~fresh] = -np.inf
-                where = before + mass
-                top = value[chosen][own]
-                noise = -np.log(uniform(self.keys[chosen][own], 1000 + s, places - self.from_[chosen][own]))
-                bound = where - np.log(np.exp(np.minimum(where - top, 700.0)) + noise)
-            bound[np.isneginf(where)] = -np.inf
+            sizes = high - low
+            before = sums[:-1] - np.repeat(sums[low], sizes)
             total = sums[high] - sums[low]
             for i, d in enumerate(chosen):
                 found[d].append((edges[low[i] : high[i]], float(total[i]), float(value[d])))
-            for _ in range(k - s + 1):  # of each path no more regions can be needed
-                most = np.maximum.reduceat(bound, low)
-                hit = np.flatnonzero((bound == most[own]) & (bound > -np.inf))
-                for i in hit[np.unique(own[hit], return_index=True)[1]] if len(hit) else ():
-                    d, at = int(chosen[own[i]]), int(places[i])
-                    gone = fork[d][2] if at == fork[d][0] else ()
-                    heapq.heappush(queue[d], (-float(bound[i]), s - 1, at, float(before[i]), (*gone, int(edges[i]))))
-                    bound[i] = -np.inf
-            fork, queue_parent = {}, {}
+            begin = np.array([fork[int(d)][0] for d in chosen])
+            # A region is below the best by at least its distance in prefix mass: over 60 it never wins in double precision.
+            ahead = np.repeat(before[np.searchsorted(places, begin)], sizes)
+            near = np.flatnonzero((places >= np.repeat(begin, sizes)) & (before > ahead - 120))
+            own = np.repeat(np.arange(len(chosen)), sizes)[near]
+            places, edges, before, q = places[near], edges[near], before[near], np.exp(logq[near])
+            with np.errstate(divide="ignore"):
+                rest = np.maximum(1.0 - q, 0.0)
+                for i in np.flatnonzero(places == begin[own]):
+                    if gone := fork[int(chosen[own[i]])][2]:
+                        rest[i] = max(0.0, rest[i] - sum(np.exp(lat.logq[list(gone)])))
+                where = np.where(rest > 1e-13, before + np.log(rest), -np.inf)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            most = np.repeat(np.maximum.reduceat(where, first), np.diff(np.append(first, len(own))))
+            live = np.flatnonzero((where > -np.inf) & (where > most - 60))
+            own, places, edges, before, where = own[live], places[live], edges[live], before[live], where[live]
+            noise = -np.log(uniform(self.keys[chosen][own], 1000 + s, places - self.from_[chosen][own]))
+            bound = where - np.log(np.exp(np.minimum(where - value[chosen][own], 700.0)) + noise)
+            rank = np.lexsort((-bound, own))
+            place = np.arange(len(rank)) - np.searchsorted(own[rank], own[rank])
+            for i in rank[place < k - s + 1]:  # of each path no more regions can be needed
+                d, at = int(chosen[own[i]]), int(places[i])
+                gone = fork[d][2] if at == fork[d][0] else ()
+                heapq.heappush(queue[d], (-float(bound[i]), s - 1, at, float(before[i]), (*gone, int(edges[i]))))
             if s == k:
                 break
-            for d in map(int, chosen):
-                if queue[d]:
-                    minus, parent, at, so_far, gone = heapq.heappop(queue[d])
-                    value[d] = -minus
-                    edge = self.other(d, at, gone, s + 1)
-                    fork[d], queue_parent[d] = (at, so_far, gone, edge), parent
+            popped = {d: heapq.heappop(queue[d]) for d in map(int, chosen) if queue[d]}
+            edge = self.others(list(popped), [x[2] for x in popped.values()], [x[4] for x in popped.values()], s + 1)
+            fork = {d: (x[2], x[3], x[4], e) for (d, x), e in zip(popped.items(), edge, strict=True)}
+            queue_parent = {d: x[1] for d, x in popped.items()}
+            for d, x in popped.items():
+                value[d] = -x[0]
         for d in range(n):
             found[d].append(-queue[d][0][0] if queue[d] else -np.inf)
         return found
 
-    def other(self, d: int, at: int, gone: tuple, salt: int) -> int:
-        """A random edge of the node at ``at`` that isn't among ``gone``."""
-        lat = self.lat
-        w = int(np.searchsorted(self.start, at, side="right")) - 1
-        node = int(self.base[w] + at - self.start[w])
-        edges = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in gone]
-        odds = np.cumsum(np.exp(lat.logq[edges]))
-        u = uniform(self.keys[d : d + 1], 2000 + salt, np.array([at - self.from_[d]]))[0]
-        return edges[min(int(np.searchsorted(odds, u * odds[-1], side="right")), len(edges) - 1)]
+    def others(self, docs: list[int], at: list[int], gone: list[tuple], salt: int) -> list[int]:
+        """For each text a random edge of its node at ``at`` that isn't among ``gone``."""
+        if not docs:
+            return []
+        lat, d, at = self.lat, np.array(docs), np.array(at)
+        w = np.searchsorted(self.start, at, side="right") - 1
+        node = self.base[w] + at - self.start[w]
+        sizes = lat.first[node + 1] - lat.first[node]
+        edges = spread(lat.first[node], sizes)
+        ends = np.cumsum(sizes)
+        odds = np.exp(lat.logq[edges])
+        for i, out in enumerate(gone):
+            odds[ends[i] - sizes[i] + np.array(out) - lat.first[node[i]]] = 0.0
+        upto = np.cumsum(odds)
+        low = upto[ends - sizes] - odds[ends - sizes]
+        want = low + uniform(self.keys[d], 2000 + salt, at - self.from_[d]) * (upto[ends - 1] - low)
+        hit = np.searchsorted(upto, want, side="right")
+        last = np.maximum.accumulate(np.where(odds > 0, np.arange(len(odds)), 0))[ends - 1]
+        return edges[np.minimum(hit, last)].tolist()
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         lat = self.lat
@@ -399,9 +454,15 @@ def encode_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> p
     return pa.StructArray.from_arrays([first, same, listed], names=["ids", "round_trip", "samples"])
 
 
-def _encoder(model, text_at: int, key_at: int, k: int, keep_text: bool):
+@lru_cache(1)
+def lattices(model: bytes) -> Lattices:
+    """One for each worker, which keeps the words of its last tasks."""
+    return Lattices(model)
+
+
+def _encoder(model, text_at: int, key_at: int, k: int, keep_text: bool, out: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(model.value)
+        lat = lattices(model.value)
         for b in batches:
             sizes = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(b.column(text_at)), 0))])
             at = 0
@@ -413,7 +474,7 @@ def _encoder(model, text_at: int, key_at: int, k: int, keep_text: bool):
                 keys = np.array([xxhash.xxh3_64_intdigest(str(x)) for x in part.column(key_at).to_pylist()], np.uint64)
                 cols = [c for i, c in enumerate(part.columns) if keep_text or i != text_at]
                 names = [c for i, c in enumerate(part.schema.names) if keep_text or i != text_at]
-                yield pa.RecordBatch.from_arrays([*cols, encode_batch(lat, texts, keys, k)], names=[*names, "pieces"])
+                yield pa.RecordBatch.from_arrays([*cols, encode_batch(lat, texts, keys, k)], names=[*names, out])
 
     return encode
 
@@ -445,7 +506,7 @@ def encode(
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if keep_text or f.name != text]
     kind = T.StructType([*fields, T.StructField(out, PIECES)])
     at = (docs.columns.index(text), docs.columns.index(key))
-    return docs.mapInArrow(_encoder(model, *at, k, keep_text), kind)
+    return docs.mapInArrow(_encoder(model, *at, k, keep_text, out), kind)
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str | None = None) -> DataFrame:
