@@ -6,8 +6,6 @@ Writing is one expression per row: dump, map missing states, assemble.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,11 +172,3 @@ def write_frame(df: DataFrame, mapping: Mapping, fmt: str = "json", column: str
 def unkey(text: Column, key: str, value_schema: str) -> Column:
     """A keyed object to an array of (key, value): the key becomes an attribute."""
     return F.transform(F.map_entries(F.from_json(text, f"map<string,{value_schema}>")), lambda e: F.struct(e.key.alias(key), e.value.alias("value")))
-
-
-def columns_of(names: list[str]) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
