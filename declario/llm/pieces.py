@@ -42,8 +42,8 @@ from declario.llm.common import free_name
 
 SPACE = "▁"
 BASE = np.uint64(0x5851F42D4C957F2D)  # of the hash of pieces
-EDGES = 2_000_000  # a worker forgets its words when their lattices have more edges
-CHARS = 1_000_000  # texts are searched together up to so many characters
+EDGES = 1_000_000  # a worker forgets its words when their lattices have more edges
+CHARS = 250_000  # texts are searched together up to so many characters
 
 
 def default_model() -> str:
