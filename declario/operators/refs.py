@@ -32,7 +32,7 @@ def resolve_all(
     each = df.select(F.col(row_id).alias("_id"), F.posexplode(keys).alias("_pos", "_ref"))
     found = each.join(build, F.col("_ref") == F.col("_key"), "left")
     found = found.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_row"))), lambda x: x["_row"]).alias(into))
-    return df.join(found, df[row_id] == found["_id"], "left").drop("_id")
+    return df.join(found, df[row_id].eqNullSafe(found["_id"]), "left").drop("_id")
 
 
 def dangling(df: DataFrame, key: str, target: DataFrame, target_key: str) -> DataFrame:
