@@ -252,7 +252,7 @@ def q24_diff_score_pairs(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     rest = [F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")]
     even = (k % 2 == 0).alias("e")
-    a = o.where(k % 11 != 0).select(k.alias("id"), *rest, F.when(k % 7 != 0, F.col("o_totalprice")).alias("t"), even)
+    a = o.select(k.alias("id"), *rest, F.when(k % 7 != 0, F.col("o_totalprice")).alias("t"), even)
     b = o.select((k - 1).alias("id"), *rest, F.col("o_totalprice").alias("t"), even)
     return diff.score_pairs(a, b, "id").select("id", F.round("score", 6).alias("score"))
 
@@ -262,7 +262,8 @@ WITH e AS (SELECT vec_id, list_transform(embedding[1:4 + vec_id % 3], lambda x:
 SELECT vec_id, round(list_sum(list_transform(generate_series(1, greatest(len(v), len(w))), lambda i: CASE WHEN i > len(v) OR i > len(w) THEN 1.0 WHEN v[i] = w[i] THEN 0.0 ELSE 0.5 END)) / greatest(len(v), len(w)), 6)::DOUBLE AS score FROM p""")
 def q25_diff_array_positional(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    v = F.transform(F.slice("embedding", F.lit(1), (4 + F.col("vec_id") % 3).cast("int")), lambda x: F.round(x * 4) + 0.0)
+    more = F.array_repeat(F.lit(0.0), (F.col("vec_id") % 3).cast("int"))  # for arrays of unequal length
+    v = F.concat(F.transform("embedding", lambda x: F.round(x * 4).cast("double") + 0.0), more)
     a, b = e.select("vec_id", v.alias("v")), e.select((F.col("vec_id") - 1).alias("vec_id"), v.alias("w"))
     return a.join(b, "vec_id").select("vec_id", F.round(diff.array_score(F.col("v"), F.col("w"), T.DoubleType()), 6).alias("score"))
 
@@ -431,7 +432,7 @@ UNION ALL SELECT id, 'priority', CASE WHEN p IS NULL THEN 'added' WHEN q IS NULL
 def q42_diff_table(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     rest = [F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")]
-    return diff.differences(o.where(k % 11 != 0).select(k.alias("id"), *rest), o.select((k - 1).alias("id"), *rest), "id").drop("index")
+    return diff.differences(o.select(k.alias("id"), *rest), o.select((k - 1).alias("id"), *rest), "id").drop("index")
 
 
 @query(f"SELECT '{EX}nation/' || n_nationkey AS s, n_name AS label, '{EX}region/' || n_regionkey AS region FROM nation")
