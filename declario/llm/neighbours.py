@@ -6,7 +6,8 @@ the tree through a priority queue of nodes by distance to their centres, so
 leaves come out in the order of promise. How many leaves are visited is
 calibrated: ``n_probe`` queries (the smallest hashes) are answered exactly
 against all rows, in blocks, and visits are widened to the smallest number at
-which their neighbours are found with ``recall``, plus one in eight.
+which their neighbours are found with ``recall``, plus one in eight. A query
+whose leaves hold fewer than ``k + 1`` rows goes on until they do.
 
 Scale: the tree is broadcast (its nodes are bounded by ``max_fit`` over
 ``leaf_size``, a few MB). Vectors that are equal keep their ``k + 1`` smallest
@@ -80,13 +81,14 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        queue, out = [(0.0, self.root)], []
-        while queue and len(out) < most:
+    def order(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and more until ``least`` rows are in them."""
+        queue, out, held = [(0.0, self.root)], [], 0
+        while queue and (len(out) < most or held < least):
             d, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                held += 0 if sizes is None else int(sizes[-1 - node])
                 continue
             for far, child in zip(((self.centres[node] - q) ** 2).sum(axis=1).tolist(), self.children[node], strict=True):
                 heapq.heappush(queue, (far, child))
@@ -212,13 +214,17 @@ def nearest(
     exact = exact.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k).drop("n")
     visits = visits_for(tree, probes, exact.toPandas(), k, recall)
 
+    counts = index.groupBy("leaf").agg(F.count("*").alias("n"))  # a row for each leaf
+    counted = counts.toArrow()
+    sizes = np.zeros(tree.leaves, np.int64)
+    sizes[counted["leaf"].to_numpy()] = counted["n"].to_numpy()
+
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = [shared.value.order(q, visits) for q in unit(matrix(b.column(1)))]
+            leaves = [shared.value.order(q, visits, sizes, k + 1) for q in unit(matrix(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # a row for each leaf
-    parts = F.broadcast(parts)
+    parts = F.broadcast(counts.select("leaf", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     dealt = index.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).select("leaf", "part", "vec_id", "v")
     asked_at = asked.mapInArrow(bins, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf"))
     asked_at = asked_at.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q")
