@@ -25,7 +25,10 @@ def main(args: list[str] | None = None) -> int:
         fmt = path.rsplit(".", 1)[-1].replace("yml", "yaml")
         rows = registry.find(fmt).read(spark, path)
         sides.append(rows.selectExpr(f"from_json(json, '{a.schema}') AS r").select("r.*"))
-    diff.differences(*sides, a.key).orderBy(a.key, "path", "index").show(100, truncate=False)
+    found = diff.differences(*sides, a.key).orderBy(a.key, "path", "index")
+    print(*found.columns, sep="\t")
+    for r in found.toLocalIterator():
+        print(*r, sep="\t")
     found = diff.score_pairs(*sides, a.key).selectExpr("round(avg(similarity), 2) AS s").first().s
     print(f"Similarity: {found} %")
     return 0
