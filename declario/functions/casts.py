@@ -16,7 +16,8 @@ TRUE_WORDS = ["true", "t", "yes", "y", "1"]
 FALSE_WORDS = ["false", "f", "no", "n", "0"]
 FLOAT_PREFIX = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 ZONE = r"(Z|[+-][0-9]{2}:?[0-9]{2})\s*$"
-DURATION = r"^P(?:([0-9]+(?:\.[0-9]+)?)Y)?(?:([0-9]+(?:\.[0-9]+)?)M)?(?:([0-9]+(?:\.[0-9]+)?)D)?(?:T(?:([0-9]+(?:\.[0-9]+)?)H)?(?:([0-9]+(?:\.[0-9]+)?)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?$"
+#: Fixed value: only seconds have a fraction.
+DURATION = r"^P(?:([0-9]+)Y)?(?:([0-9]+)M)?(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?$"
 PARTS = ["years", "months", "days", "hours", "minutes", "seconds"]
 
 
@@ -128,6 +129,18 @@ TYPES: dict[str, tuple[str, Callable[[Column], Column]]] = {
 }
 
 
+def register_type(code: str, kind: str, read: Callable[[Column], Column], write: Callable[[Column, str], Column] | None = None) -> None:
+    """A value type of one's own: its Spark type, its cast, and how it is written
+    (a function of the value and the format; plain text if there is none)."""
+    TYPES[code] = (kind, read)
+    if write is not None:
+        WRITERS[code] = write
+
+
+#: Types of one's own: how they are written.
+WRITERS: dict[str, Callable[[Column, str], Column]] = {}
+
+
 def cast(code: str, c: Column) -> Column:
     return TYPES[code][1](c)
 
@@ -147,6 +160,8 @@ def _stamp(c: Column) -> Column:
 
 def serialize(code: str, c: Column, fmt: str = "json") -> Column:
     """The text of a value in a format (json, yaml, toml, xml or hash)."""
+    if code in WRITERS:
+        return WRITERS[code](c, fmt)
     if code == "decimal":
         return _plain(c)
     if code == "date":

@@ -30,28 +30,41 @@ def camel_case(c: Column) -> Column:
 
 
 def classify(c: Column) -> Column:
-    """Words apart by spaces, marks or underscores, joined with capitals."""
-    return F.array_join(F.transform(F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != ""), _capital), "")
+    """A class name: words behind ``_``, ``-`` or ``/`` get capitals, a ``/`` becomes
+    ``::``, dots go; anything else stays."""
+    s = F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit("::"), F.lit("/"))
+    part = r"([_/-]?)([A-Za-z0-9]*)([^_/-]*)"
+    get = lambda i: F.regexp_extract_all(s, F.lit(part), F.lit(i))
+    words = F.transform(F.arrays_zip(get(1).alias("mark"), get(2).alias("word"), get(3).alias("rest")), lambda w: F.concat(F.when(w["mark"] == "/", "::").otherwise(""), _capital(w["word"]), w["rest"]))
+    return F.array_join(words, "")
 
 
 def snake_case(c: Column) -> Column:
-    """Words split before capitals, acronyms kept whole, marks to underscores."""
-    s = F.regexp_replace(c, "::", "/")
-    s = F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    s = F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.translate(s, "-. ", "___"))
+    """Words split before capitals, acronyms kept whole, hyphens and dots to
+    underscores. Text without A-Z, hyphen or ``::`` only loses its dots."""
+    s = F.translate(c, ".", "_")
+    parts = F.regexp_replace(F.replace(s, F.lit("::"), F.lit("/")), "([A-Z]+)(?=[A-Z][a-z])|([a-z0-9])(?=[A-Z])", "$1$2_")
+    return F.when(s.rlike("[A-Z-]|::"), F.lower(F.translate(parts, "-", "_"))).otherwise(s)
 
 
 def pluralize(c: Column) -> Column:
     return (
-        F.when(c.rlike("(s|x|z|ch|sh)$"), F.concat(c, F.lit("es")))
+        F.when(c == "", c)
+        .when(c.rlike("(s|x|z|ch|sh)$"), F.concat(c, F.lit("es")))
         .when(c.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(c, "y$", ""), F.lit("ies")))
         .otherwise(F.concat(c, F.lit("s")))
     )
 
 
 def last_of_split(c: Column, mark: str = ":") -> Column:
-    return F.substring_index(c, mark, -1)
+    """Empty pieces at the end don't count; null where nothing else is there."""
+    return F.nullif(F.substring_index(F.rtrim(c, F.lit(mark)), mark, -1), F.lit(""))
+
+
+def fetch(members: Column, key: Column | str) -> Column:
+    """A map's value by a key given as text or as a symbol (``:name``)."""
+    k = F.lit(key) if isinstance(key, str) else key
+    return F.coalesce(F.try_element_at(members, k), F.try_element_at(members, F.regexp_replace(k, "^:", "")), F.try_element_at(members, F.concat(F.lit(":"), k)))
 
 
 def base64_encode(c: Column) -> Column:

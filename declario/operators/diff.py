@@ -89,26 +89,33 @@ def score_pairs(left: DataFrame, right: DataFrame, key: str, integer_mean: bool
     return paired(left, right, key).select(key, score.alias("score")).withColumn("similarity", similarity(F.col("score")))
 
 
+#: One difference.
+DIFFERENCE = "array<struct<path: string, index: int, op: string, old: string, new: string>>"
+
+
 def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, path, index, op, old, new): added, removed and changed values."""
-    rows = paired(left, right, key)
-    parts = []
-    for f in left.schema.fields:
-        if f.name == key:
-            continue
-        a, b = F.col(f"a.{f.name}"), F.col(f"b.{f.name}")
-        if isinstance(f.dataType, T.ArrayType):
-            none = F.array().cast(f.dataType)
-            wrap = lambda c, none=none: F.transform(F.coalesce(c, none), lambda x: F.struct(x.alias("v")))
-            each = rows.select(key, F.posexplode(F.zip_with(wrap(a), wrap(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("index", "p"))
-            old, new = F.col("p.x.v"), F.col("p.y.v")
-            op = F.when(F.col("p.x").isNull(), "added").when(F.col("p.y").isNull(), "removed").otherwise("changed")
-            parts.append(each.where(~F.col("p.x").eqNullSafe(F.col("p.y"))).select(key, F.lit(f.name).alias("path"), "index", op.alias("op"), old.cast("string").alias("old"), new.cast("string").alias("new")))
-        else:
-            op = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("changed")
-            changed = rows.where(~_comparable(a, f.dataType).eqNullSafe(_comparable(b, f.dataType)))
-            parts.append(changed.select(key, F.lit(f.name).alias("path"), F.lit(None).cast("int").alias("index"), op.alias("op"), a.cast("string").alias("old"), b.cast("string").alias("new")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(key, path, index, op, old, new): added, removed and changed values.
+
+    One join; nested models are compared attribute by attribute (their paths are
+    joined by dots) and arrays by position, the outermost of which is ``index``.
+    """
+    found = [_differ(f.name, F.lit(None).cast("int"), F.col(f"a.{f.name}"), F.col(f"b.{f.name}"), f.dataType) for f in left.schema.fields if f.name != key]
+    return paired(left, right, key).select(key, F.explode(F.concat(*found)).alias("d")).select(key, "d.*")
+
+
+def _differ(path: str, index: Column, a: Column, b: Column, kind: T.DataType, here: Column | None = None) -> Column:
+    """The differences of two values as an array. ``here``: (in a, in b), for
+    elements of arrays, where null is a value and not absence."""
+    if isinstance(kind, T.StructType):
+        return F.concat(*(_differ(f"{path}.{f.name}", index, a[f.name], b[f.name], f.dataType) for f in kind.fields))
+    if isinstance(kind, T.ArrayType):
+        none = F.array().cast(kind)
+        wrap = lambda c: F.transform(F.coalesce(c, none), lambda x: F.struct(x.alias("v")))
+        pairs = F.zip_with(wrap(a), wrap(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        each = lambda p, i: _differ(path, F.coalesce(index, i), p.x.v, p.y.v, kind.elementType, F.struct(p.x.isNotNull().alias("a"), p.y.isNotNull().alias("b")))
+        return F.flatten(F.transform(pairs, each))
+    was, is_ = (here.a, here.b) if here is not None else (a.isNotNull(), b.isNotNull())
+    op = F.when(~was, "added").when(~is_, "removed").otherwise("changed")
+    one = F.struct(F.lit(path).alias("path"), index.alias("index"), op.alias("op"), a.cast("string").alias("old"), b.cast("string").alias("new"))
+    same = _comparable(a, kind).eqNullSafe(_comparable(b, kind)) & (was == is_)
+    return F.when(same, F.array().cast(DIFFERENCE)).otherwise(F.array(one).cast(DIFFERENCE))

@@ -27,12 +27,21 @@ def resolve(df: DataFrame, key: str, target: DataFrame, target_key: str, into: s
 def resolve_all(
     df: DataFrame, keys: str, target: DataFrame, target_key: str, into: str, row_id: str, ord_: list[str] | None = None
 ) -> DataFrame:
-    """An array of keys to an array of rows, in the order of the keys, null where unresolved."""
+    """An array of keys to an array of rows, in the order of the keys, null where
+    unresolved; an empty array stays empty and a null one null.
+
+    ``row_id`` says which keys belong together; rows that share it, or have none,
+    are told apart by their keys, and rows with the same of both get the same.
+    """
     build = target_of(target, target_key, ord_ or [target_key])
-    each = df.select(F.col(row_id).alias("_id"), F.posexplode(keys).alias("_pos", "_ref"))
-    found = each.join(build, F.col("_ref") == F.col("_key"), "left")
-    found = found.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_row"))), lambda x: x["_row"]).alias(into))
-    return df.join(found, df[row_id].eqNullSafe(found["_id"]), "left").drop("_id")
+    each = df.select(F.col(row_id).alias("_id"), F.col(keys).alias("_keys"), F.posexplode(keys).alias("_pos", "_ref"))
+    found = each.join(build, F.col("_ref") == F.col("_key"), "left").groupBy("_id", "_keys").agg(F.array_sort(F.collect_list(F.struct("_pos", "_row"))).alias("_all"))
+    # Equal rows bring each place as often as there are of them.
+    one = F.transform("_keys", lambda _, i: F.get("_all", i * (F.size("_all") / F.size("_keys")).cast("int"))["_row"])
+    found = found.select("_id", "_keys", one.alias(into))
+    same = df[row_id].eqNullSafe(found["_id"]) & (df[keys] == found["_keys"])
+    empty = F.when(F.size(df[keys]) == 0, F.array().cast(found.schema[into].dataType))
+    return df.join(found, same, "left").withColumn(into, F.coalesce(F.col(into), empty)).drop("_id", "_keys")
 
 
 def dangling(df: DataFrame, key: str, target: DataFrame, target_key: str) -> DataFrame:

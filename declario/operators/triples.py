@@ -34,24 +34,60 @@ def turtle(df: DataFrame, subject: Column, predicates: dict[str, tuple[Column, s
     return df.select(F.concat(iri.resource(subject), F.lit(" "), F.concat_ws(" ;\n    ", *parts), F.lit(" .")).alias("value"))
 
 
-def read_turtle(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(s, p, o, lang, datatype) of N-Triples and of statements that turtle() writes."""
-    s = F.regexp_extract(column, r"^\s*<([^>]*)>", 1)
-    body = F.regexp_replace(column, r"^\s*<[^>]*>\s*", "")
-    pair = r'(?s)(?:a|<([^>]*)>)\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*[;.]'
-    get = lambda i: F.regexp_extract_all(body, F.lit(pair), F.lit(i))
-    zipped = F.arrays_zip(*(get(i).alias(n) for i, n in enumerate(["all", "p", "iri", "text", "lang", "datatype"])))
-    rows = lines.where(F.trim(column) != "").select(s.alias("s"), F.explode(zipped).alias("t"))
-    plain = F.col("t.text")
-    for raw, written in (("\\t", "\t"), ("\\r", "\r"), ("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
-        plain = F.replace(plain, F.lit(raw), F.lit(written))
-    is_iri = F.col("t.iri") != ""
+STRING = r'"(?:[^"\\]|\\.)*+"'
+IRI = r"<[^>]*>"
+#: A statement up to its dot, a predicate's part up to its semicolon, and a term.
+STATEMENT = rf"(?s)((?:{STRING}|{IRI}|[^\s<\".]|(?<=\S)\.(?=[\w])|\s)++)\.(?=\s|$)"
+PART = rf"(?s)(?:{STRING}|{IRI}|[^;<\"])++"
+TERM = rf"(?s)({IRI}|{STRING}|[^\s,<\"]+)(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^({IRI}|[\w-]*:[\w.-]+))?"
+#: Types of numbers and truth values that are written bare.
+BARE = {r"^[+-]?[0-9]+$": "integer", r"^[+-]?[0-9]*\.[0-9]+$": "decimal", r"^[+-]?[0-9.]+[eE][+-]?[0-9]+$": "double", "^(?:true|false)$": "boolean"}
+
+
+def unescape(c: Column) -> Column:
+    """The text of a string with Turtle's escapes, backslash pairs first."""
+    mark = "\x00"  # can't be written in Turtle
+    out = F.replace(c, F.lit("\\\\"), F.lit(mark))
+    for raw, written in (("\\t", "\t"), ("\\r", "\r"), ("\\n", "\n"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
+        out = F.replace(out, F.lit(raw), F.lit(written))
+    return F.replace(out, F.lit(mark), F.lit("\\"))
+
+
+def read_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
+    """(s, p, o, lang, datatype) of Turtle texts, each one statement or a document.
+
+    Read are prefixes, IRIs, prefixed names, strings in quotes with language or
+    type, bare numbers and truth values, ``a``, ``;`` and ``,``. Blank nodes,
+    collections, bases, comments and long strings aren't.
+    """
+    head = r"(?i)@?prefix\s+([\w-]*):\s*<([^>]*)>\s*\.?"
+    names, iris = (F.regexp_extract_all(column, F.lit(head), F.lit(i)) for i in (1, 2))
+    body = F.concat(F.regexp_replace(column, head, ""), F.lit("\n"))
+    rows = texts.select(F.arrays_zip(names.alias("name"), iris.alias("iri")).alias("_names"), F.explode(F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(1))).alias("_statement"))
+
+    def full(term: Column) -> Column:
+        """An IRI from <...> or a prefixed name."""
+        local = F.substr(term, F.instr(term, ":") + 1)
+        base = F.get(F.transform(F.filter("_names", lambda n: n["name"] == F.substring_index(term, ":", 1)), lambda n: n["iri"]), F.lit(0))
+        return F.when(F.startswith(term, F.lit("<")), F.substr(term, F.lit(2), F.length(term) - 2)).when(F.instr(term, ":") > 0, F.concat(base, local))
+
+    rows = rows.select("_names", F.regexp_extract("_statement", r"^\s*(\S+)", 1).alias("_s"), F.explode(F.regexp_extract_all(F.regexp_replace("_statement", r"^\s*\S+\s", ""), F.lit(PART), F.lit(0))).alias("_part"))
+    rows = rows.where(F.trim("_part") != "").withColumn("_p", F.regexp_extract("_part", r"^\s*(\S+)", 1))
+    objects = F.regexp_replace("_part", r"^\s*\S+\s", "")
+    get = lambda i: F.regexp_extract_all(objects, F.lit(TERM), F.lit(i))
+    terms = F.arrays_zip(get(1).alias("term"), get(2).alias("lang"), get(3).alias("kind"))
+    rows = rows.select("_names", "_s", "_p", F.explode(terms).alias("t")).select("_names", "_s", "_p", "t.*")
+    quoted = F.startswith("term", F.lit('"'))
+    bare = F.lit(None).cast("string")
+    for pattern, kind in BARE.items():
+        bare = F.when(F.col("term").rlike(pattern), iri.XSD + kind).otherwise(bare)
+    text = F.when(quoted, unescape(F.substr("term", F.lit(2), F.length("term") - 2))).when(bare.isNotNull(), F.col("term")).otherwise(full(F.col("term")))
     return rows.select(
-        "s",
-        F.when(F.col("t.p") == "", TYPE).otherwise(F.col("t.p")).alias("p"),
-        F.when(is_iri, F.col("t.iri")).otherwise(plain).alias("o"),
-        F.nullif("t.lang", F.lit("")).alias("lang"),
-        F.nullif("t.datatype", F.lit("")).alias("datatype"),
+        full(F.col("_s")).alias("s"),
+        F.when(F.col("_p") == "a", TYPE).otherwise(full(F.col("_p"))).alias("p"),
+        text.alias("o"),
+        F.nullif("lang", F.lit("")).alias("lang"),
+        F.when(quoted, full(F.nullif("kind", F.lit("")))).otherwise(bare).alias("datatype"),
     )
 
 

@@ -1,11 +1,15 @@
 """Mappings to column expressions: JSON text to attributes and back.
 
 Reading is one projection: extract, map missing states, load, cast, default.
-Writing is one expression per row: dump, map missing states, assemble.
+Every object is parsed once, to a map of its keys' texts, however many attributes
+and aliases look into it. Writing is one expression per row: dump, map missing
+states, assemble.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,22 +19,25 @@ from declario.plans.mapping import Mapping, Rule
 from declario.plans.model import Attribute, Model, Reference
 
 
-def _json_path(keys: tuple[str, ...]) -> str:
-    return "$" + "".join(f"['{k}']" for k in keys)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def has_key(text: Column, path: tuple[str, ...], name: str) -> Column:
-    """Whether an object, at a path, has a key, null values included."""
-    inner = F.get_json_object(text, _json_path(path)) if path else text
-    return F.coalesce(F.array_contains(F.json_object_keys(inner), name), F.lit(False))
+def members(text: Column) -> Column:
+    """The members of a JSON object as texts by key; null where it isn't one."""
+    return F.from_json(text, "map<string,string>")
 
 
-def extract(text: Column, rule: Rule) -> tuple[Column, Column]:
-    """(raw text, present): of the first of the rule's names that is present."""
+def extract(obj: Column, rule: Rule) -> tuple[Column, Column]:
+    """(raw text, present): of the first of the rule's names that is present in
+    members(), null values included."""
+    for key in rule.path:
+        obj = members(F.try_element_at(obj, F.lit(key)))
     raw, found = F.lit(None).cast("string"), F.lit(False)
     for name in reversed(rule.names):
-        here = has_key(text, rule.path, name)
-        raw = F.when(here, F.get_json_object(text, _json_path((*rule.path, name)))).otherwise(raw)
+        here = F.coalesce(F.map_contains_key(obj, name), F.lit(False))
+        raw = F.when(here, F.try_element_at(obj, F.lit(name))).otherwise(raw)
         found = found | here
     return raw, found
 
@@ -50,7 +57,7 @@ def _value(raw: Column, a: Attribute, rule: Rule) -> Column:
     if rule.delimiter is not None:
         items = F.split(raw, f"\\Q{rule.delimiter}\\E")
     else:
-        items = F.transform(F.from_json(raw, "array<variant>"), lambda v: F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string")).otherwise(F.to_json(v)))
+        items = F.from_json(raw, "array<string>")
     return F.transform(items, lambda x: _one(x, a))
 
 
@@ -63,11 +70,19 @@ def _state(name: str, raw: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
-def attribute(text: Column, rule: Rule, a: Attribute) -> Column:
-    """One attribute from a JSON document."""
-    raw, found = extract(text, rule)
+def attribute(obj: Column, rule: Rule, a: Attribute) -> Column:
+    """One attribute from the members() of a document."""
+
+    def of(found: Column) -> Column:
+        return _attribute(found.raw, found.here, rule, a)
+
+    raw, here = extract(obj, rule)
     if rule.load:
         raw = rule.load(raw)
+    return let(F.struct(raw.alias("raw"), here.alias("here")), of)
+
+
+def _attribute(raw: Column, found: Column, rule: Rule, a: Attribute) -> Column:
     value = _value(raw, a, rule)
     if rule.attribute_load:
         value = rule.attribute_load(value)
@@ -85,16 +100,20 @@ def attribute(text: Column, rule: Rule, a: Attribute) -> Column:
 
 def read(text: Column, mapping: Mapping) -> Column:
     """A struct of the model from JSON text, null where it isn't an object."""
-    body = F.get_json_object(text, _json_path((mapping.root,))) if mapping.root else text
-    own = {r.to: r for r in mapping.all()}
-    fields = []
-    for a in mapping.model.attributes:
-        if a.derived is None and a.name in own and not own[a.name].delegate:
-            fields.append(attribute(body, own[a.name], a).alias(a.name))
-        elif a.derived is None and isinstance(a.type, Model) and any(r.delegate == a.name for r in own.values()):
-            inner = [attribute(body, r, a.type[r.to]).alias(r.to) for r in own.values() if r.delegate == a.name]
-            fields.append(F.struct(*inner).alias(a.name))
-    return F.when(F.json_object_keys(body).isNotNull(), F.struct(*fields))
+
+    def fields(obj: Column) -> Column:
+        own = {r.to: r for r in mapping.all()}
+        out = []
+        for a in mapping.model.attributes:
+            if a.derived is None and a.name in own and not own[a.name].delegate:
+                out.append(attribute(obj, own[a.name], a).alias(a.name))
+            elif a.derived is None and isinstance(a.type, Model) and any(r.delegate == a.name for r in own.values()):
+                inner = [attribute(obj, r, a.type[r.to]).alias(r.to) for r in own.values() if r.delegate == a.name]
+                out.append(F.struct(*inner).alias(a.name))
+        return F.when(obj.isNotNull(), F.struct(*out))
+
+    obj = members(text)
+    return let(members(F.try_element_at(obj, F.lit(mapping.root))) if mapping.root else obj, fields)
 
 
 def finish(df: DataFrame, model: Model) -> DataFrame:
@@ -134,8 +153,7 @@ def written(value: Column, a: Attribute, rule: Rule, fmt: str) -> Column:
 
 def quoted(c: Column) -> Column:
     """A JSON string."""
-    s = F.to_json(F.struct(c.alias("v")))
-    return F.when(c.isNotNull(), F.substr(s, F.lit(6), F.length(s) - 6))
+    return F.when(c.isNotNull(), let(F.to_json(F.struct(c.alias("v"))), lambda s: F.substr(s, F.lit(6), F.length(s) - 6)))
 
 
 def write(row: Column, mapping: Mapping, fmt: str = "json") -> Column:

@@ -37,10 +37,17 @@ def to_text(x) -> str:
     return json.dumps(_keys(x), default=_plain, ensure_ascii=False)
 
 
+def _yaml(kind: str):
+    """PyYAML's safe loader or dumper, in C where it was built with libyaml."""
+    import yaml
+
+    return getattr(yaml, f"CSafe{kind}", None) or getattr(yaml, f"Safe{kind}")
+
+
 def parse_yaml(text: str) -> Iterator[str]:
     import yaml
 
-    yield to_text(yaml.safe_load(text))
+    yield to_text(yaml.load(text, _yaml("Loader")))
 
 
 def parse_yaml_stream(text: str) -> Iterator[str]:
@@ -48,12 +55,12 @@ def parse_yaml_stream(text: str) -> Iterator[str]:
     import yaml
 
     try:
-        yield from [to_text(d) for d in yaml.safe_load_all(text)]
+        yield from [to_text(d) for d in yaml.load_all(text, _yaml("Loader"))]
     except yaml.YAMLError:
         for piece in re.split(r"(?m)^---\s*$", text):
             if piece.strip():
                 try:
-                    yield to_text(yaml.safe_load(piece))
+                    yield to_text(yaml.load(piece, _yaml("Loader")))
                 except yaml.YAMLError:
                     continue
 
@@ -104,7 +111,7 @@ def render(text: str, fmt: str) -> str:
     doc = json.loads(text)
     if fmt == "toml":
         return "".join(f"{json.dumps(k)} = {toml_value(v)}\n" for k, v in doc.items() if v is not None)
-    return yaml.safe_dump(doc, allow_unicode=True, sort_keys=False, explicit_start=fmt == "yamls")
+    return yaml.dump(doc, Dumper=_yaml("Dumper"), allow_unicode=True, sort_keys=False, explicit_start=fmt == "yamls")
 
 
 def write_text(df: DataFrame, fmt: str, column: str = "json") -> DataFrame:

@@ -71,7 +71,15 @@ def test_serialize(spark):
         (strings.camel_case, "a_name/b-part", "AName::BPart"),
         (strings.snake_case, "XMLHttpRequest", "xml_http_request"),
         (strings.snake_case, "someName.part-x", "some_name_part_x"),
-        (strings.classify, "some name-part", "SomeNamePart"),
+        (strings.classify, "some name-part", "Some namePart"),
+        (strings.classify, "hello_world::foo_bar_baz", "HelloWorld::FooBarBaz"),
+        (strings.classify, "hello_world/foo_bar_baz", "HelloWorld::FooBarBaz"),
+        (strings.snake_case, "HelloWorld::FooBarBaz", "hello_world/foo_bar_baz"),
+        (strings.snake_case, "XMLHttp-Request v1.2", "xml_http_request v1_2"),
+        (strings.snake_case, "plain v1.2", "plain v1_2"),
+        (strings.pluralize, "", ""),
+        (strings.last_of_split, "a:b:", "b"),
+        (strings.last_of_split, ":", None),
         (strings.pluralize, "box", "boxes"),
         (strings.pluralize, "city", "cities"),
         (strings.pluralize, "day", "days"),

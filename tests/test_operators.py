@@ -149,3 +149,59 @@ def test_stream(spark, sf_dir):
     live.run_once(live.issues(stream, "event_id", rules), "live_issues")
     want = spark.read.parquet(source).where("value >= 20").count()
     assert spark.table("live_issues").count() == want
+
+
+def test_resolve_all_empty_null_and_shared_ids(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
+    rows = [(1, [2, 1, 9]), (1, [1]), (1, [1]), (2, []), (3, None), (None, [2]), (4, [1, 1])]
+    got = refs.resolve_all(spark.createDataFrame(rows, "id int, keys array<int>"), "keys", target, "k", "found", "id")
+    found = [(r["id"], r["keys"], None if r["found"] is None else [x and x["name"] for x in r["found"]]) for r in got.collect()]
+    want = [(1, [2, 1, 9], ["b", "a", None]), (1, [1], ["a"]), (1, [1], ["a"]), (2, [], []), (3, None, None), (None, [2], ["b"]), (4, [1, 1], ["a", "a"])]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_read_turtle_prefixes_lists_and_escapes(spark):
+    text = """@prefix ex: <http://e.x/> .
+@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+ex:one a ex:Thing ;
+  ex:path "C:\\\\temp\\\\new" , "two. words; \\"so\\""@en ;
+  ex:n 5 ; ex:d 1.5 ; ex:ok true .
+<http://e.x/two> ex:day "2020-01-02"^^xsd:date ; ex:see ex:one, <http://e.x/a.b> .
+"""
+    got = {(r["s"], r["p"], r["o"], r["lang"], r["datatype"]) for r in triples.read_turtle(spark.createDataFrame([(text,)], "value string")).collect()}
+    x, xsd = "http://e.x/", "http://www.w3.org/2001/XMLSchema#"
+    assert got == {
+        (x + "one", triples.TYPE, x + "Thing", None, None),
+        (x + "one", x + "path", "C:\\temp\\new", None, None),
+        (x + "one", x + "path", 'two. words; "so"', "en", None),
+        (x + "one", x + "n", "5", None, xsd + "integer"),
+        (x + "one", x + "d", "1.5", None, xsd + "decimal"),
+        (x + "one", x + "ok", "true", None, xsd + "boolean"),
+        (x + "two", x + "day", "2020-01-02", None, xsd + "date"),
+        (x + "two", x + "see", x + "one", None, None),
+        (x + "two", x + "see", x + "a.b", None, None),
+    }
+
+
+def test_differences_of_nested_models(spark):
+    kind = "id int, a string, m struct<x: int, t: array<string>>"
+    left = spark.createDataFrame([(1, "p", (1, ["u", "v"])), (2, "q", None), (3, "r", (3, []))], kind)
+    right = spark.createDataFrame([(1, "p", (2, ["u", "w", None])), (2, "z", (5, None)), (4, None, None)], kind)
+    got = {tuple(r) for r in diff.differences(left, right, "id").collect()}
+    assert got == {
+        (1, "m.x", None, "changed", "1", "2"),
+        (1, "m.t", 1, "changed", "v", "w"),
+        (1, "m.t", 2, "added", None, None),
+        (2, "a", None, "changed", "q", "z"),
+        (2, "m.x", None, "added", None, "5"),
+        (3, "a", None, "removed", "r", None),
+        (3, "m.x", None, "removed", "3", None),
+    }
+
+
+def test_one_stream_is_numbered_over_tasks(spark):
+    rows = [(i, "term" if i % 5 == 0 else "note", f"v{i}") for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "o int, kind string, v string").repartition(7)
+    got = consolidate.chunk(df, "kind", "v", ["o"], "term", {"term": "term", "note": "note"}).orderBy("chunk").collect()
+    want = [(0, None, "v4")] + [(k, f"v{5 * k}", f"v{min(199, 5 * k + 4)}") for k in range(1, 40)]
+    assert [tuple(r) for r in got] == want
