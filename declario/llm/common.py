@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,35 +22,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the session's checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, is one made.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs on this machine
+    alone, as in tests, is one made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Cuts the lineage, so a lost executor costs a reread and not a recomputation,
-    and values such as monotonically_increasing_id stay as they were.
+    and values such as monotonically_increasing_id stay as they were. The path is
+    added to ``made``, for drop().
     """
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the files of a frame from materialise() that nothing reads any more."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    shared = shared_dir(spark)
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/t-" in f and f.rsplit("/", 1)[0].rsplit("/", 1)[-1] == shared.rsplit("/", 1)[-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def spared(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, which gives its memory back to the system at the end of a task.
+
+    Spark reuses Python workers; else each would keep the most that any of its
+    tasks, of this or an earlier operator, has needed.
+    """
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return task
 
 
 def ascii_lower(c: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from declario.llm.common import free_name
+from declario.llm.common import free_name, spared
 
 #: What HTML calls so, and words that name parts of a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,4 +255,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "main_text") -> Dat
             yield pa.RecordBatch.from_arrays([*cols, texts], names=[*(n for i, n in enumerate(b.schema.names) if i != at), out])
 
     fields = [T.StructField(f.name, f.dataType) for f in rest.schema.fields]
-    return pages.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
+    return pages.mapInArrow(spared(run), T.StructType([*fields, T.StructField(out, T.StringType())]))

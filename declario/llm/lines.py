@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from declario.llm.common import free_name, materialise
+from declario.llm.common import drop, free_name, materialise, spared
 
 KEY = ["nul", "id", "th"]
 
@@ -72,7 +72,7 @@ def _splitter(min_words: int):
                 names=[*KEY, "seq", "line", "starts", "ends"],
             )
 
-    return split
+    return spared(split)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -85,10 +85,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def _ranked(groups: DataFrame, *keys: str) -> DataFrame:
+def _ranked(groups: DataFrame, made: list[str], *keys: str) -> DataFrame:
     """Groups with a rank that follows the order of their keys over all partitions."""
     ordered = groups.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return materialise(ordered.withColumn("rank", F.monotonically_increasing_id()))
+    return materialise(ordered.withColumn("rank", F.monotonically_increasing_id()), made)
 
 
 def _groups(df: DataFrame, at: str, *keys: str) -> DataFrame:
@@ -104,32 +104,35 @@ def _later(df: DataFrame, at: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
     """(nul, id, th, seq) of every line that a later copy of a repeated run covers."""
     kind = "nul boolean, id long, th long, seq int, line binary, starts int, ends int"
-    places = materialise(_keyed(docs, doc_id, text).mapInArrow(_splitter(min_words), kind))
-    lines = _ranked(_groups(places, "seq", "line"), "line")
-    ranks = materialise(places.join(lines, "line").select(*KEY, "seq", "starts", "ends", "rank", "first"))
+    made: list[str] = []
+    places = materialise(_keyed(docs, doc_id, text).mapInArrow(_splitter(min_words), kind), made)
+    lines = _ranked(_groups(places, "seq", "line"), made, "line")
+    ranks = materialise(places.join(lines, "line").select(*KEY, "seq", "starts", "ends", "rank", "first"), made)
     dead = _later(ranks.where("starts = 1"), "seq").select(*KEY, "seq")
 
     runs = ranks.where("starts > 1").select(*KEY, F.col("seq").alias("at"), F.col("starts").alias("n"))
     runs = runs.union(ranks.where("ends > 1").select(*KEY, F.expr("seq - ends + 1"), "ends")).distinct()
-    runs = materialise(runs)
+    runs = materialise(runs, made)
     longest = runs.agg(F.max("n")).first()[0] or 1
     now = ranks.select(*KEY, "seq", "rank")
     for j in range(1, int(math.log2(longest)) + 1):
         half, size = 1 << (j - 1), 1 << j
         shifted = now.select(*KEY, (F.col("seq") - half).alias("seq"), F.col("rank").alias("next"))
-        pairs = materialise(now.join(shifted, [*KEY, "seq"]))
-        names = _ranked(_groups(pairs, "seq", "rank", "next").drop("first").withColumnRenamed("rank", "prev"), "prev", "next")
+        pairs = materialise(now.join(shifted, [*KEY, "seq"]), made)
+        names = _ranked(_groups(pairs, "seq", "rank", "next").drop("first").withColumnRenamed("rank", "prev"), made, "prev", "next")
         now = pairs.withColumnRenamed("rank", "prev").join(names, ["prev", "next"]).select(*KEY, "seq", "rank")
-        now = materialise(now)
+        now = materialise(now, made)
         own = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size))
         head = now.select(*KEY, F.col("seq").alias("at"), F.col("rank").alias("head"))
         tail = now.select(*KEY, F.col("seq").alias("last"), F.col("rank").alias("tail"))
         named = own.join(head, [*KEY, "at"]).withColumn("last", F.col("at") + F.col("n") - size)
-        named = materialise(named.join(tail, [*KEY, "last"]).select(*KEY, "at", "n", "head", "tail"))
+        named = materialise(named.join(tail, [*KEY, "last"]).select(*KEY, "at", "n", "head", "tail"), made)
         found = named.join(_groups(named, "at", "n", "head", "tail"), ["n", "head", "tail"])
         covers = F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("seq")
         dead = dead.union(_later(found, "at").select(*KEY, covers))
-    return dead.distinct()
+    dead = materialise(dead.distinct())
+    drop(docs.sparkSession, made)
+    return dead
 
 
 def _remover(text_at: int, dead_at: int):
@@ -159,7 +162,7 @@ def _remover(text_at: int, dead_at: int):
             b = b.set_column(text_at, b.schema.field(text_at).name, pa.array(texts, pa.string()))
             yield b.set_column(dead_at, b.schema.field(dead_at).name, found)
 
-    return remove
+    return spared(remove)
 
 
 FOUND = "struct<n_lines: bigint, n_removed: bigint, runs: array<struct<first: bigint, last: bigint>>>"
