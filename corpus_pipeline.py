@@ -9,8 +9,9 @@ columns of documents.
   out, so it can be rerun on any corpus.
 * line_dedup: takes later copies of repeated runs of 25 words or more out of the
   texts, corrects n_chars, and drops documents that consist of nothing else.
-* near_dedup: one document of each group of near duplicates stays, the smallest
-  id; rows without id stay.
+* near_dedup: one row of each group of near duplicates stays, that of the smallest
+  id; repeated rows and copies among rows without id count as such a group, and
+  texts that share an id are documents of their own.
 * decontaminate: drops documents that hold a 10-word window of a benchmark item.
 * sentencepiece: doc_id, lang, source, text, the model's ids, whether they decode
   to the text, and two sampled segmentations with inclusion scores.
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 
 from declario.llm import decontaminate as dc
 from declario.llm import language, lines, minhash, pieces
-from declario.llm.common import free_name, materialise, table
-
+from declario.llm.common import drop, free_name, materialise, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +70,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    made: list[str] = []
+    for _, stage in STAGES[:-1]:
+        before, made = made, []
+        docs = materialise(stage(spark, docs, sf_dir), made)
+        drop(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
