@@ -143,6 +143,16 @@ class Collection:
         """Rows at the end; they bring their own order columns."""
         return replace(self, df=self.df.unionByName(rows))
 
+    def replace_all(self, rows: DataFrame) -> Collection:
+        """Other rows in place of these, brought to the same columns and types."""
+        return replace(self, df=Collection.coerce(rows, self.df.schema))
+
+    @staticmethod
+    def coerce(rows: DataFrame, schema) -> DataFrame:
+        """Rows as items of a type: its columns in order, cast, null where absent."""
+        have = set(rows.columns)
+        return rows.select(*((F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields))
+
     def put(self, where: Column, **values: Column) -> Collection:
         """Replace fields of the rows that match, such as a position."""
         cols = {c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()}

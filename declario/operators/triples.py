@@ -53,7 +53,7 @@ def unescape(c: Column) -> Column:
     return F.replace(out, F.lit(mark), F.lit("\\"))
 
 
-def read_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
+def read_turtle(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """(s, p, o, lang, datatype) of Turtle texts, each one statement or a document.
 
     Read are prefixes, IRIs, prefixed names, strings in quotes with language or
@@ -63,7 +63,7 @@ def read_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
     head = r"(?i)@?prefix\s+([\w-]*):\s*<([^>]*)>\s*\.?"
     names, iris = (F.regexp_extract_all(column, F.lit(head), F.lit(i)) for i in (1, 2))
     body = F.concat(F.regexp_replace(column, head, ""), F.lit("\n"))
-    rows = texts.select(F.arrays_zip(names.alias("name"), iris.alias("iri")).alias("_names"), F.explode(F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(1))).alias("_statement"))
+    rows = texts.select(*keep, F.arrays_zip(names.alias("name"), iris.alias("iri")).alias("_names"), F.explode(F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(1))).alias("_statement"))
 
     def full(term: Column) -> Column:
         """An IRI from <...> or a prefixed name."""
@@ -71,18 +71,19 @@ def read_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
         base = F.get(F.transform(F.filter("_names", lambda n: n["name"] == F.substring_index(term, ":", 1)), lambda n: n["iri"]), F.lit(0))
         return F.when(F.startswith(term, F.lit("<")), F.substr(term, F.lit(2), F.length(term) - 2)).when(F.instr(term, ":") > 0, F.concat(base, local))
 
-    rows = rows.select("_names", F.regexp_extract("_statement", r"^\s*(\S+)", 1).alias("_s"), F.explode(F.regexp_extract_all(F.regexp_replace("_statement", r"^\s*\S+\s", ""), F.lit(PART), F.lit(0))).alias("_part"))
+    rows = rows.select(*keep, "_names", F.regexp_extract("_statement", r"^\s*(\S+)", 1).alias("_s"), F.explode(F.regexp_extract_all(F.regexp_replace("_statement", r"^\s*\S+\s", ""), F.lit(PART), F.lit(0))).alias("_part"))
     rows = rows.where(F.trim("_part") != "").withColumn("_p", F.regexp_extract("_part", r"^\s*(\S+)", 1))
     objects = F.regexp_replace("_part", r"^\s*\S+\s", "")
     get = lambda i: F.regexp_extract_all(objects, F.lit(TERM), F.lit(i))
     terms = F.arrays_zip(get(1).alias("term"), get(2).alias("lang"), get(3).alias("kind"))
-    rows = rows.select("_names", "_s", "_p", F.explode(terms).alias("t")).select("_names", "_s", "_p", "t.*")
+    rows = rows.select(*keep, "_names", "_s", "_p", F.explode(terms).alias("t")).select(*keep, "_names", "_s", "_p", "t.*")
     quoted = F.startswith("term", F.lit('"'))
     bare = F.lit(None).cast("string")
     for pattern, kind in BARE.items():
         bare = F.when(F.col("term").rlike(pattern), iri.XSD + kind).otherwise(bare)
     text = F.when(quoted, unescape(F.substr("term", F.lit(2), F.length("term") - 2))).when(bare.isNotNull(), F.col("term")).otherwise(full(F.col("term")))
     return rows.select(
+        *keep,
         full(F.col("_s")).alias("s"),
         F.when(F.col("_p") == "a", TYPE).otherwise(full(F.col("_p"))).alias("p"),
         text.alias("o"),

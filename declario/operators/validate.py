@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from declario.functions import strings
 
@@ -135,6 +136,18 @@ def counts_between(df: DataFrame, parent: DataFrame, key: str, parent_key: str,
     return rows.where((F.col("n") < low) | (F.col("n") > high if high is not None else F.lit(False)))
 
 
+def all_present(df: DataFrame, f: str, key: str, severity: str = "error") -> DataFrame:
+    """An issue for every row of a collection in which a field is missing."""
+    return issues(df, key, [required(f, dict(df.dtypes)[f], severity=severity)])
+
+
+def misshapen(df: DataFrame, model) -> list[str]:
+    """Attributes whose column is a collection and shouldn't be, or the reverse."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    several = {a.name: bool(a.collection) for a in model.attributes if a.name in have}
+    return [f"{n} is {'a collection' if want else 'one value'} in {model.name}" for n, want in several.items() if isinstance(have[n], T.ArrayType) != want]
+
+
 @dataclass
 class CollectionRule:
     """``check`` gives an issue table from the collection and a shared context."""
@@ -162,6 +175,17 @@ class Profile:
             raise ValueError(f"profiles import each other: {' > '.join((*above, self.name))}")
         return [r for p in self.imports for r in p.all((*above, self.name))] + self.rules
 
+    @staticmethod
+    def parse(text: str, rules: dict[str, CollectionRule], known: dict[str, Profile]) -> Profile:
+        """A profile from YAML: name, rules and imports by name."""
+        import yaml
+
+        doc = yaml.safe_load(text)
+        lost = [r for r in doc.get("rules", []) if r not in rules] + [p for p in doc.get("imports", []) if p not in known]
+        if lost:
+            raise KeyError(f"profile {doc['name']} names {', '.join(lost)}, which isn't there")
+        return Profile(doc["name"], [rules[r] for r in doc.get("rules", [])], [known[p] for p in doc.get("imports", [])])
+
     def run(self, df: DataFrame) -> dict[str, DataFrame]:
         """Each rule's issues; conditions see the context the rules before left."""
         context: dict = {}

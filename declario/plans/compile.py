@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from declario.functions import casts, variants
-from declario.plans.mapping import Mapping, Rule
+from declario.plans.mapping import Keyed, Mapping, Rule
 from declario.plans.model import Attribute, Model, Reference
 
 
@@ -57,7 +57,7 @@ def _value(raw: Column, a: Attribute, rule: Rule) -> Column:
     if rule.delimiter is not None:
         items = F.split(raw, f"\\Q{rule.delimiter}\\E")
     else:
-        items = F.from_json(raw, "array<string>")
+        items = F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))  # a single value is a collection of one
     return F.transform(items, lambda x: _one(x, a))
 
 
@@ -70,15 +70,21 @@ def _state(name: str, raw: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
-def attribute(obj: Column, rule: Rule, a: Attribute) -> Column:
+def _by_format(f, fmt: str):
+    return f.get(fmt) if isinstance(f, dict) else f
+
+
+def attribute(obj: Column, rule: Rule, a: Attribute, fmt: str = "json") -> Column:
     """One attribute from the members() of a document."""
+    if rule.reader:
+        return rule.reader(obj)
 
     def of(found: Column) -> Column:
         return _attribute(found.raw, found.here, rule, a)
 
     raw, here = extract(obj, rule)
-    if rule.load:
-        raw = rule.load(raw)
+    if load := _by_format(rule.load, fmt):
+        raw = load(raw)
     return let(F.struct(raw.alias("raw"), here.alias("here")), of)
 
 
@@ -98,17 +104,19 @@ def _attribute(raw: Column, found: Column, rule: Rule, a: Attribute) -> Column:
     )
 
 
-def read(text: Column, mapping: Mapping) -> Column:
+def read(text: Column, mapping: Mapping, fmt: str = "json") -> Column:
     """A struct of the model from JSON text, null where it isn't an object."""
+    if mapping.whole:
+        return F.struct(text.alias(mapping.whole))
 
     def fields(obj: Column) -> Column:
         own = {r.to: r for r in mapping.all()}
         out = []
         for a in mapping.model.attributes:
             if a.derived is None and a.name in own and not own[a.name].delegate:
-                out.append(attribute(obj, own[a.name], a).alias(a.name))
+                out.append(attribute(obj, own[a.name], a, fmt).alias(a.name))
             elif a.derived is None and isinstance(a.type, Model) and any(r.delegate == a.name for r in own.values()):
-                inner = [attribute(obj, r, a.type[r.to]).alias(r.to) for r in own.values() if r.delegate == a.name]
+                inner = [attribute(obj, r, a.type[r.to], fmt).alias(r.to) for r in own.values() if r.delegate == a.name]
                 out.append(F.struct(*inner).alias(a.name))
         return F.when(obj.isNotNull(), F.struct(*out))
 
@@ -124,9 +132,9 @@ def finish(df: DataFrame, model: Model) -> DataFrame:
     return df.withColumns(derived) if derived else df
 
 
-def read_frame(df: DataFrame, mapping: Mapping, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+def read_frame(df: DataFrame, mapping: Mapping, column: str = "value", keep: tuple[str, ...] = (), fmt: str = "json") -> DataFrame:
     """Documents of a text column as rows of the model."""
-    rows = df.select(*keep, read(F.col(column), mapping).alias("_m")).select(*keep, "_m.*")
+    rows = df.select(*keep, read(F.col(column), mapping, fmt).alias("_m")).select(*keep, "_m.*")
     return finish(rows, mapping.model)
 
 
@@ -158,6 +166,8 @@ def quoted(c: Column) -> Column:
 
 def write(row: Column, mapping: Mapping, fmt: str = "json") -> Column:
     """JSON text of a model struct; fields are written, null, or left out by rule."""
+    if mapping.whole:
+        return row[mapping.whole]
     parts = []
     for rule in mapping.all():
         source = row[rule.delegate] if rule.delegate else row
@@ -166,11 +176,13 @@ def write(row: Column, mapping: Mapping, fmt: str = "json") -> Column:
         value = source[rule.to]
         if rule.attribute_dump:
             value = rule.attribute_dump(value)
-        if rule.dump:
-            value = rule.dump(value)
+        if dump := _by_format(rule.dump, fmt):
+            value = dump(value)
         empty = F.size(value) == 0 if a.collection else (value == "") if isinstance(a.spark_type(), T.StringType) else F.lit(False)
         state = {"omitted": F.lit(None).cast("string"), "nil": F.lit("null"), "empty": F.lit("[]" if a.collection else '""')}
         body = F.when(source[rule.to].isNull(), state[rule.given("nil")]).when(empty, state[rule.given("empty")]).otherwise(written(value, a, rule, fmt))
+        if rule.writer:
+            body = rule.writer(row)
         if a.default is not None and not callable(a.default) and not rule.render_default and a.derived is None and not a.collection:
             body = F.when(~source[rule.to].eqNullSafe(F.lit(a.default)), body)
         for key in reversed((*rule.path, rule.names[0])):
@@ -190,3 +202,51 @@ def write_frame(df: DataFrame, mapping: Mapping, fmt: str = "json", column: str
 def unkey(text: Column, key: str, value_schema: str) -> Column:
     """A keyed object to an array of (key, value): the key becomes an attribute."""
     return F.transform(F.map_entries(F.from_json(text, f"map<string,{value_schema}>")), lambda e: F.struct(e.key.alias(key), e.value.alias("value")))
+
+
+def read_keyed(df: DataFrame, keyed: Keyed, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that are maps: one row of the model for each member, in no order."""
+    entries = F.explode(F.map_entries(members(F.col(column)))).alias("_e")
+    key, value = F.col("_e.key"), F.col("_e.value")
+    model, fields = keyed.mapping.model, []
+    rules = {r.to: r for r in keyed.mapping.all()}
+    obj = members(value)
+    for a in model.attributes:
+        where = keyed.parts.get(a.name)
+        if where is None:  # an attribute of the value object
+            fields.append(attribute(obj, rules[a.name], a).alias(a.name))
+        elif isinstance(where, str) and where in (":key", ":value"):
+            fields.append(_one(key if where == ":key" else value, a).alias(a.name))
+        else:
+            path = (where,) if isinstance(where, str) else where
+            fields.append(attribute(obj, Rule((path[-1],), a.name, path=tuple(path[:-1])), a).alias(a.name))
+    return df.select(*keep, entries).select(*keep, *fields)
+
+
+def write_keyed(df: DataFrame, keyed: Keyed, by: tuple[str, ...], fmt: str = "json", column: str = "value") -> DataFrame:
+    """Rows of the model as one map document for each group, ordered by key."""
+    model = keyed.mapping.model
+    name = next(n for n, where in keyed.parts.items() if where == ":key")
+    only = next((n for n, where in keyed.parts.items() if where == ":value"), None)
+    if only:
+        body = written(F.col(only), model[only], Rule((only,), only), fmt)
+    else:
+        names = [a.name for a in model.attributes]
+        body = write(F.struct(*(F.col(n) for n in names)), keyed.mapping.without(name), fmt)
+    key = F.col(name).cast("string")
+    rows = df.where(key.isNotNull()).select(*by, key.alias("_k"), F.concat(quoted(key), F.lit(":"), body).alias("_v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
+    return rows.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias(column))
+
+
+def read_instances(df: DataFrame, name: str, mapping: Mapping, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents whose member ``name`` is an array of items: a row of the model for
+    each, with its place."""
+    items = F.posexplode(F.from_json(F.try_element_at(members(F.col(column)), F.lit(name)), "array<string>")).alias("pos", "_i")
+    return read_frame(df.select(*keep, items), mapping, "_i", (*keep, "pos"))
+
+
+def with_parent(df: DataFrame, parent: str, children: str, keep: tuple[str, ...]) -> DataFrame:
+    """Items of a nested collection as rows that can see their parent and its place."""
+    kept = F.struct(*(F.col(f"{parent}.{k}") for k in keep)).alias("parent")
+    return df.select(kept, F.posexplode(f"{parent}.{children}").alias("pos", "_i")).select("parent", "pos", "_i.*")

@@ -26,7 +26,9 @@ class Rule:
     written. ``path``: nested keys around them. ``delegate``: the attribute is a
     field of this nested model. ``load`` and ``dump`` are column functions, for
     the rule; ``attribute_load`` and ``attribute_dump`` for the attribute: load
-    runs rule then attribute, dump attribute then rule.
+    runs rule then attribute, dump attribute then rule. ``load`` and ``dump`` may
+    also be dicts by format. ``reader`` makes the value from the document's members
+    (a map of texts by key), ``writer`` its JSON text from the model's struct.
     """
 
     names: tuple[str, ...]
@@ -37,11 +39,12 @@ class Rule:
     give: dict[str, str] = field(default_factory=dict)
     render_default: bool = False
     delimiter: str | None = None
-    load: Callable[[Column], Column] | None = None
-    dump: Callable[[Column], Column] | None = None
+    load: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] | None = None
+    dump: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] | None = None
     attribute_load: Callable[[Column], Column] | None = None
     attribute_dump: Callable[[Column], Column] | None = None
-    polymorphic: dict[str, str] | None = None
+    reader: Callable[[Column], Column] | None = None
+    writer: Callable[[Column], Column] | None = None
 
     def taken(self, state: str) -> str:
         return (TAKE | self.take)[state]
@@ -65,14 +68,23 @@ def field_(name: str | list[str], to: str, render_nil: bool | str = False, rende
 
 @dataclass(frozen=True)
 class Mapping:
-    """Rules of one format. ``root``: the key that wraps the document."""
+    """Rules of one format. ``root``: the key that wraps the document. ``whole``: the
+    attribute that takes the document as it is written, beside which no rule may stand.
+    """
 
     model: Model
     rules: tuple[Rule, ...] = ()
     root: str | None = None
+    whole: str | None = None
+
+    def __post_init__(self):
+        if self.whole and self.rules:
+            raise ValueError(f"{self.whole} takes the whole document, so there can be no other rules")
 
     def all(self) -> tuple[Rule, ...]:
         """Without rules, every attribute under its own name."""
+        if self.whole:
+            return ()
         return self.rules or tuple(Rule((a.name,), a.name) for a in self.model.attributes)
 
     def only(self, *names: str) -> Mapping:
@@ -82,6 +94,29 @@ class Mapping:
         return Mapping(self.model, tuple(r for r in self.all() if r.to not in names), self.root)
 
 
+@dataclass(frozen=True)
+class Transformer:
+    """Conversions of a value by format: ``loads`` on reading, ``dumps`` on writing."""
+
+    loads: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    dumps: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+
+    def options(self) -> dict:
+        """For a rule: Rule(..., **t.options())."""
+        return {"load": self.loads, "dump": self.dumps}
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A document that is a map of items. ``parts``: attributes and where they come
+    from: ``:key``, ``:value``, or a path of keys in the value. With ``:key`` alone
+    the value is an object of the other attributes.
+    """
+
+    mapping: Mapping
+    parts: dict[str, str | tuple[str, ...]]
+
+
 @dataclass
 class Mappings:
     """Mappings by format; JSON Lines and YAML streams fall back to the base format's."""

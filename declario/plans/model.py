@@ -6,6 +6,8 @@ declarations of a few dozen names.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -99,6 +101,19 @@ class Model:
             raise KeyError(f"{self.name} has no attribute {attribute}")
         return replace(self, attributes=tuple(replace(a, **options) if a.name == attribute else a for a in self.attributes))
 
+    def include_attributes(self, other: Model, *names: str) -> Model:
+        """Import attributes only, all or some, without choices."""
+        if other.root:
+            raise ValueError(f"{other.name} has a root and can't be imported")
+        own = tuple(a for a in other.attributes if not names or a.name in names)
+        taken = {a.name for a in own}
+        return replace(self, attributes=tuple(a for a in self.attributes if a.name not in taken) + own)
+
+    def remove(self, name: str) -> Model:
+        """Without an attribute, in choices too."""
+        kept = tuple(c for c in (c.without(name) for c in self.choices) if c.names)
+        return replace(self, attributes=tuple(a for a in self.attributes if a.name != name), choices=kept)
+
     def include(self, other: Model) -> Model:
         """Import another model's attributes and choices; one with a root can't be."""
         if other.root:
@@ -120,7 +135,7 @@ class Register:
     fallbacks: list[Register] = field(default_factory=list)
     models: dict[str, Model] = field(default_factory=dict)
     substitutes: dict[str, str] = field(default_factory=dict)
-    namespaces: dict[str, str] = field(default_factory=dict)  # namespace IRI: register that is bound to it
+    namespaces: dict[str, Register] = field(default_factory=dict)  # by namespace IRI
 
     def add(self, model: Model) -> Model:
         self.models[model.name] = model
@@ -132,7 +147,34 @@ class Register:
             if isinstance(a.type, Model):
                 self.add_tree(a.type)
 
+    def bind(self, uri: str, register: Register) -> None:
+        """Names written ``{uri}Name`` are looked up in ``register``."""
+        self.namespaces[uri] = register
+
+    def derive(self, name: str) -> Register:
+        """A register of its own that falls back on this one."""
+        return Register(name, [self])
+
+    def isolate(self, name: str) -> Register:
+        """A copy that later changes to this one don't reach."""
+        return Register(name, list(self.fallbacks), dict(self.models), dict(self.substitutes), dict(self.namespaces))
+
+    @contextlib.contextmanager
+    def scope(self, *models: Model) -> Iterator[Register]:
+        """Further models while a block runs."""
+        before = dict(self.models)
+        self.models |= {m.name: m for m in models}
+        try:
+            yield self
+        finally:
+            self.models = before
+
     def resolve(self, name: str) -> Model | str:
+        if name.startswith("{"):
+            uri, _, local = name[1:].partition("}")
+            if uri not in self.namespaces:
+                raise KeyError(f"no register is bound to {uri}")
+            return self.namespaces[uri].resolve(local)
         name = self.substitutes.get(name, name)
         if name in self.models:
             return self.models[name]

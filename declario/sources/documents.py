@@ -1,4 +1,4 @@
-"""YAML, YAML streams and TOML: a Python data source each, one row per document.
+"""YAML, YAML streams, TOML and XML as JSON texts, one row per document.
 
 Rows are (path, doc_idx, json): documents as JSON text, so that mappings read
 them as they read JSON. Files are dealt to tasks; a file is one document or one
@@ -71,7 +71,39 @@ def parse_toml(text: str) -> Iterator[str]:
     yield to_text(tomllib.load(BytesIO(text.encode())))
 
 
-PARSERS = {"yaml": parse_yaml, "yamls": parse_yaml_stream, "toml": parse_toml}
+def parse_xml(text: str) -> Iterator[str]:
+    """The root's name to its members: attributes as ``@name``, text as ``#text``,
+    elements that come again as arrays, elements of text alone as that text."""
+    from xml.etree import ElementTree
+
+    def value(e):
+        out = {f"@{k.rpartition('}')[2]}": v for k, v in e.attrib.items()}
+        for child in e:
+            name = child.tag.rpartition("}")[2]
+            own = value(child)
+            if name in out:
+                out[name] = [*out[name], own] if isinstance(out[name], list) else [out[name], own]
+            else:
+                out[name] = own
+        body = (e.text or "").strip()
+        if not out:
+            return body
+        return out | ({"#text": body} if body else {})
+
+    root = ElementTree.fromstring(text)
+    yield to_text({root.tag.rpartition("}")[2]: value(root)})
+
+
+def parse_graph(text: str) -> Iterator[str]:
+    """The nodes of a JSON-LD or YAML-LD document, without its context."""
+    import yaml
+
+    doc = yaml.load(text, _yaml("Loader"))
+    for node in doc.get("@graph", [doc]) if isinstance(doc, dict) else doc or []:
+        yield to_text({k: v for k, v in node.items() if k != "@context"})
+
+
+PARSERS = {"yaml": parse_yaml, "yamls": parse_yaml_stream, "toml": parse_toml, "xml": parse_xml, "jsonld": parse_graph, "yamlld": parse_graph}
 
 
 def parse(df: DataFrame, fmt: str, column: str = "value", path: str = "path") -> DataFrame:
@@ -104,11 +136,28 @@ def toml_value(x) -> str:
     return json.dumps(x, ensure_ascii=False).replace("\x7f", "\\u007f")
 
 
+def xml_of(name: str, x) -> str:
+    """An element; ``@`` members are attributes and ``#text`` its text. Nulls go."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    if isinstance(x, list):
+        return "".join(xml_of(name, v) for v in x if v is not None)
+    if not isinstance(x, dict):
+        return f"<{name}>{escape(str(x).lower() if isinstance(x, bool) else str(x))}</{name}>"
+    attributes = "".join(f" {k[1:]}={quoteattr(str(v))}" for k, v in x.items() if k.startswith("@") and v is not None)
+    body = escape(str(x.get("#text", ""))) + "".join(xml_of(k, v) for k, v in x.items() if not k.startswith(("@", "#")) and v is not None)
+    return f"<{name}{attributes}>{body}</{name}>"
+
+
 def render(text: str, fmt: str) -> str:
     """One JSON document as text of a format. TOML has no null: such keys go."""
     import yaml
 
     doc = json.loads(text)
+    if fmt == "xml":
+        return "".join(xml_of(k, v) for k, v in doc.items() if v is not None)
+    if fmt == "jsonld":
+        return text
     if fmt == "toml":
         return "".join(f"{json.dumps(k)} = {toml_value(v)}\n" for k, v in doc.items() if v is not None)
     return yaml.dump(doc, Dumper=_yaml("Dumper"), allow_unicode=True, sort_keys=False, explicit_start=fmt == "yamls")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declario.functions import strings
+from declario.operators import triples
 from declario.plans import compile as plans
-from declario.plans.mapping import Mappings
+from declario.plans.mapping import Mapping, Mappings
 from declario.sources import documents
 
 
@@ -45,6 +47,42 @@ FORMATS: dict[str, Format] = {
 _scoped: list[dict[str, Format]] = []
 
 
+def _turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Subjects as JSON objects: ``@id``, and their predicates' least objects."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = triples.read_turtle(files, "value", ("path",))
+    members = rows.groupBy("path", "s", "p").agg(F.min("o").alias("o")).groupBy("path", "s")
+    return members.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "o")))).alias("m")).select(
+        "path", F.lit(0).alias("doc_idx"), F.to_json(F.map_concat(F.create_map(F.lit("@id"), F.col("s")), F.col("m"))).alias("json")
+    )
+
+
+FORMATS["turtle"] = Format("turtle", _turtle, lambda df: df)
+
+
+def from_hash(spark: SparkSession, rows: list[dict], mapping: Mapping) -> DataFrame:
+    """Dicts of this process as rows of the model, by the mapping's names."""
+    texts = spark.createDataFrame([(documents.to_text(r),) for r in rows], "value string")
+    return plans.read_frame(texts, mapping)
+
+
+def to_hash(df: DataFrame, mapping: Mapping) -> Iterator[dict]:
+    """Rows of the model as dicts, fetched part by part."""
+    return (json.loads(r.value) for r in plans.write_frame(df, mapping, "hash").toLocalIterator())
+
+
+#: File endings and the formats they stand for.
+ENDINGS = {"json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "ttl": "turtle", "jsonld": "jsonld", "yamlld": "yamlld"}
+
+
+def detect(path: str) -> str:
+    """A path's format, by its ending."""
+    ending = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    if ending not in ENDINGS:
+        raise KeyError(f"no format is known for .{ending}; there are {', '.join(sorted(ENDINGS))}")
+    return ENDINGS[ending]
+
+
 def register(f: Format) -> None:
     FORMATS[f.name] = f
 
@@ -78,7 +116,7 @@ def suggest(spark: SparkSession, word: str, names: list[str]) -> str | None:
 
 def read(spark: SparkSession, path: str, fmt: str, mappings: Mappings) -> DataFrame:
     """Documents of a path as rows of the model, with path and doc_idx."""
-    return plans.read_frame(find(fmt).read(spark, path), mappings.of(fmt), "json", ("path", "doc_idx"))
+    return plans.read_frame(find(fmt).read(spark, path), mappings.of(fmt), "json", ("path", "doc_idx"), fmt)
 
 
 def write(df: DataFrame, fmt: str, mappings: Mappings, *keep: str) -> DataFrame:

@@ -143,3 +143,53 @@ def test_xml_and_jsonl(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nbad\n')
     assert text.read_jsonl(spark, str(tmp_path / "l.jsonl"), "a int").count() == 1
     assert text.read_jsonl(spark, str(tmp_path / "l.jsonl"), "a int", keep_bad=True).count() == 2
+
+
+def test_schemas_keep_choices():
+    m = Model("M", (Attribute("a"), Attribute("b"), Attribute("c", "integer"), Attribute("d"), Attribute("e")), (Choice(("a", "b")), Choice(("c", "d", "e"), 0, 2)))
+    assert schemas.from_json_schema(schemas.json_schema(m)).choices == m.choices
+    assert schemas.from_xsd(schemas.xsd(m)).choices == m.choices
+
+
+def test_foreign_xsd():
+    common = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:simpleType name="Code"><xs:restriction base="xs:string"><xs:enumeration value="x"/><xs:enumeration value="y"/></xs:restriction></xs:simpleType></xs:schema>'
+    text = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:t="urn:t"><xs:include schemaLocation="common.xsd"/><xs:element name="top" type="t:Child"/>
+<xs:complexType name="Base"><xs:sequence><xs:element name="a" type="xs:integer"/></xs:sequence><xs:attribute name="id" type="xs:string" use="required"/></xs:complexType>
+<xs:complexType name="Child"><xs:complexContent><xs:extension base="t:Base"><xs:choice minOccurs="0" maxOccurs="2"><xs:element name="b" type="t:Code"/><xs:element name="c" type="xs:date"/></xs:choice></xs:extension></xs:complexContent></xs:complexType></xs:schema>"""
+    m = schemas.from_xsd(text, {"common.xsd": common})
+    assert m.root == "top" and [a.name for a in m.attributes] == ["a", "id", "b", "c"]
+    assert m["a"].type == "integer" and m["id"].required and m["b"].values == ("x", "y") and m["c"].type == "date"
+    assert m.choices == (Choice(("b", "c"), 0, 2),)
+    with pytest.raises(KeyError):
+        schemas.from_xsd(text)
+    assert schemas.unfit("<a/>") and schemas.unfit(text) == []
+    assert schemas.unfit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:assert test="1"/></xs:schema>') == ["assert needs XSD 1.1"]
+
+
+def test_registers_imports_and_contexts():
+    base, other = Register("base"), Register("other")
+    base.add(Model("A", (Attribute("x"),)))
+    other.add(Model("A", (Attribute("y"),)))
+    base.bind("urn:o", other)
+    assert base.resolve("{urn:o}A")["y"].name == "y" and base.resolve("A")["x"].name == "x"
+    with pytest.raises(KeyError):
+        base.resolve("{urn:p}A")
+    copy, child = base.isolate("copy"), base.derive("child")
+    base.add(Model("B", (Attribute("z"),)))
+    assert child.resolve("B").name == "B" and "B" not in copy.models
+    with base.scope(Model("C", (Attribute("w"),))):
+        assert base.resolve("C").name == "C"
+    with pytest.raises(KeyError):
+        base.resolve("C")
+    m = Model("M", (Attribute("a"), Attribute("b")), (Choice(("a", "b")),))
+    n = Model("N", (Attribute("b", "integer"), Attribute("c")))
+    assert [(a.name, a.type) for a in n.include_attributes(m, "b").attributes] == [("c", "string"), ("b", "string")]
+    assert m.remove("a").choices == (Choice(("b",)),)
+
+
+def test_sorting_and_ordered_content_conflict():
+    from declario.plans import xml
+
+    m = Model("M", (Attribute("a", collection=True),))
+    with pytest.raises(ValueError):
+        xml.XmlMapping(m, "m", (xml.element("a", "a"),), ordered=True, sort="a")
