@@ -21,7 +21,7 @@ empty result; other columns pass through whatever their names.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -75,6 +75,8 @@ def blocks(html: str) -> list[Block]:
     """The page's blocks of text in order, markup resolved."""
     out: list[Block] = []
     stack = [("", 0, 0, 0, 0)]  # name, boilerplate and content containers around, number, depth
+    opened: Counter[str] = Counter()  # what is on the stack, by name
+    solid = [0]  # places on the stack of what isn't inline
     number = links = at = 0
     now: Block | None = None
 
@@ -83,7 +85,7 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not text or text.isspace():
                 return
-            own = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
+            own = stack[solid[-1]]
             above = stack[-2] if own is stack[-1] and len(stack) > 1 and own[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else own
             now = Block((own[0], own[1], own[2], above[3], own[4]), own[0])
             out.append(now)
@@ -95,6 +97,15 @@ def blocks(html: str) -> list[Block]:
         if links:
             now.linked += n
 
+    def close_from(i: int) -> None:
+        nonlocal links
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+            links -= x[0] == "a"
+        del stack[i:]
+        while solid[-1] >= i:
+            solid.pop()
+
     while (m := _TOKEN.search(html, at)) is not None:
         if m.start() > at:
             add(html[at : m.start()])
@@ -112,11 +123,8 @@ def blocks(html: str) -> list[Block]:
         if m["end"]:
             if tag not in INLINE:
                 now = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:  # what is walked over is closed, so the walks add up to the page
+                close_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in RAW and not m["attrs"].endswith("/>"):
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -126,15 +134,13 @@ def blocks(html: str) -> list[Block]:
         if tag not in INLINE:
             now = None
         if tag in CLOSES_P:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in CLOSES_P), 0)
+            i = next((i for i in reversed(solid) if stack[i][0] == "p" or stack[i][0] in CLOSES_P), 0) if opened["p"] > 0 else 0
             if i and stack[i][0] == "p":
-                links -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
+                close_from(i)
         elif tag == "li":
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("li", "ul", "ol", "menu")), 0)
+            i = next((i for i in reversed(solid) if stack[i][0] in ("li", "ul", "ol", "menu")), 0) if opened["li"] > 0 else 0
             if i and stack[i][0] == "li":
-                links -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
+                close_from(i)
         if tag in VOID or m["attrs"].endswith("/>"):
             continue
         name, boiler, content, _, depth = stack[-1]
@@ -149,6 +155,9 @@ def blocks(html: str) -> list[Block]:
         number += 1
         links += tag == "a"
         stack.append((tag, boiler, content, number, depth + 1))
+        opened[tag] += 1
+        if tag not in INLINE:
+            solid.append(len(stack) - 1)
     if at < len(html):
         add(html[at:])
     for b in out:
