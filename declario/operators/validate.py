@@ -7,13 +7,14 @@ Nothing stops at the first violation; raise_issues() is the form that does.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from declario.functions import strings
+from declario.plans.model import Model
 
 SEVERITIES = ["error", "warning", "info", "notice"]
 
@@ -89,6 +90,45 @@ def in_sequence(f: str, names: list[str], **k) -> Rule:
     return Rule("sequence", f, ~at.eqNullSafe(F.array_sort(at)), message=f"{f} is out of order", **k)
 
 
+def of_model(model: Model, elements: str | None = None, above: str = "") -> list[Rule]:
+    """The rules that a model declares: required and allowed values, patterns,
+    sizes of collections, choices, nested models, and with the column ``elements``
+    (names in the order of the document) its sequence.
+
+    A collection inside a choice has no size of its own to keep, and a choice of
+    which nothing is present is kept where one of its collections may be empty.
+    """
+    chosen = {n for c in model.choices for n in c.names}
+    kinds = {a.name: "array" if a.collection else "string" if isinstance(a.spark_type(), T.StringType) else "other" for a in model.attributes}
+    out = []
+    for a in model.attributes:
+        f = f"{above}{a.name}"
+        c = F.col(f)
+        if a.required:
+            out.append(required(f, kinds[a.name]))
+        if a.values:
+            bad = ~F.forall(c, _among(a.values)) if a.collection else c.isNotNull() & ~c.isin(list(a.values))
+            out.append(Rule("enum", f, bad, message=f"{f} is not an allowed value"))
+        if a.pattern:
+            out.append(pattern(f, a.pattern, array=bool(a.collection)))
+        if isinstance(a.collection, tuple) and a.name not in chosen:
+            out.append(size_between(f, *a.collection))
+        if isinstance(a.type, Model) and not a.collection:
+            out += [replace(r, applies=c.isNotNull() if r.applies is None else c.isNotNull() & r.applies) for r in of_model(a.type, None, f"{f}.")]
+    for c in model.choices:
+        fields = {f"{above}{n}": kinds[n] for n in c.names}
+        rule = choice("|".join(c.names), fields, c.low, c.high)
+        may_be_empty = any(isinstance(model[n].collection, tuple) and model[n].collection[0] == 0 for n in c.names)
+        out.append(replace(rule, broken=rule.broken & (present_count(fields) > 0)) if may_be_empty else rule)
+    if model.sequence and elements:
+        out.append(in_sequence(elements, list(model.sequence)))
+    return out
+
+
+def _among(values: tuple) -> Callable[[Column], Column]:
+    return lambda x: x.isin(list(values))
+
+
 def nested(path: str, rules: Callable[[Callable[[str], str]], list[Rule]]) -> list[Rule]:
     """Rules of a nested model, on ``path.field``."""
     return rules(lambda f: f"{path}.{f}")

@@ -10,7 +10,7 @@ from declario.operators.collection import Collection, array_put
 from declario.plans import compile as plans
 from declario.plans import xml
 from declario.plans.mapping import Keyed, Mapping, Rule, Transformer, field_
-from declario.plans.model import Attribute, Model
+from declario.plans.model import Attribute, Choice, Model
 from declario.queries import query, table
 from declario.sources import documents, text
 
@@ -384,3 +384,46 @@ def q81_chunk_one_stream(spark, sf_dir):
     shown = F.when(F.col("event_type") == "view", F.col("event_id").cast("string")).otherwise(F.col("value").cast("string"))
     got = consolidate.chunk(e.select("event_id", "event_type", shown.alias("v")), "event_type", "v", ["event_id"], "click", {"click": "click", "view": "view_id"})
     return got.select("chunk", "click", F.col("view_id").cast("bigint").alias("view_id"))
+
+
+@query(r"""
+WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, p_brand AS brand, CASE WHEN p_partkey % 3 = 0 THEN 'a' END AS one, CASE WHEN p_partkey % 2 = 0 THEN 'b' END AS two, p_partkey % 4 AS n, p_size AS size FROM part)
+SELECT id AS row_id, path, code FROM (
+ SELECT id, 'name' AS path, 'required' AS code FROM r WHERE name IS NULL
+ UNION ALL SELECT id, 'brand', 'enum' FROM r WHERE brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')
+ UNION ALL SELECT id, 'words', 'collection_size' FROM r WHERE n > 2
+ UNION ALL SELECT id, 'words', 'pattern' FROM r WHERE n > 2
+ UNION ALL SELECT id, 'box.size', 'pattern' FROM r WHERE n <> 0 AND NOT regexp_matches(CAST(size AS VARCHAR), '^[1-4]')
+ UNION ALL SELECT id, 'one|two', 'choice' FROM r WHERE (one IS NOT NULL)::INT + (two IS NOT NULL)::INT <> 1
+ UNION ALL SELECT id, 'order', 'sequence' FROM r WHERE id % 6 = 1)""")
+def q82_rules_of_a_model(spark, sf_dir):
+    """Everything that a model declares, checked in one pass."""
+    box = Model("Box", (Attribute("size", pattern="^[1-4]"),))
+    model = Model(
+        "Part",
+        (
+            Attribute("name", required=True),
+            Attribute("brand", values=("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")),
+            Attribute("words", collection=(0, 2), pattern="^[01]"),
+            Attribute("box", box),
+            Attribute("one"),
+            Attribute("two"),
+            Attribute("many", collection=(0, 1)),
+        ),
+        (Choice(("one", "two")), Choice(("many",), 1, 1)),
+        sequence=("name", "brand", "words"),
+    )
+    k = F.col("p_partkey")
+    words = F.slice(F.array(*map(F.lit, "0123")), 1, (k % 4).cast("int"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("id"),
+        F.when(k % 5 != 0, F.col("p_name")).alias("name"),
+        F.col("p_brand").alias("brand"),
+        words.alias("words"),
+        F.when(k % 4 != 0, F.struct(F.col("p_size").cast("string").alias("size"))).alias("box"),
+        F.when(k % 3 == 0, "a").alias("one"),
+        F.when(k % 2 == 0, "b").alias("two"),
+        F.array().cast("array<string>").alias("many"),
+        F.when(k % 6 == 1, F.array(F.lit("brand"), F.lit("name"))).otherwise(F.array(F.lit("name"), F.lit("else"), F.lit("words"))).alias("order"),
+    )
+    return validate.issues(rows, "id", validate.of_model(model, "order")).select("row_id", "path", "code")
