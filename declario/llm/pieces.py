@@ -38,12 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from declario.llm.common import free_name
+from declario.llm.common import free_name, spared
 
 SPACE = "▁"
 BASE = np.uint64(0x5851F42D4C957F2D)  # of the hash of pieces
-EDGES = 1_000_000  # a worker forgets its words when their lattices have more edges
-CHARS = 250_000  # texts are searched together up to so many characters
+EDGES = 2_000_000  # with more edges a worker forgets its less used words
+CHARS = 400_000  # texts are searched together up to so many characters
+LEARNED = 4096  # words learned at once
+BITS = 17  # of the tables that say which hashes of pieces there may be
+SLOTS = 18  # bits of the table that finds a word by its hash
 
 
 def default_model() -> str:
@@ -52,14 +55,33 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def stream(key: np.ndarray, salt: int) -> np.ndarray:
+    """A row key's state for a salt; GOLDEN times a position is to be added."""
+    with np.errstate(over="ignore"):
+        return key + np.uint64(salt) * np.uint64(0xD1342543DE82EF95) + GOLDEN
+
+
+def draw(x: np.ndarray) -> np.ndarray:
+    """In (0, 1): a hash of the state, which is overwritten."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
+
+
 def uniform(key: np.ndarray, salt: int, at: np.ndarray) -> np.ndarray:
     """In (0, 1): a hash of row key, salt and position."""
     with np.errstate(over="ignore"):
-        x = key + np.uint64(salt) * np.uint64(0xD1342543DE82EF95) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+        return draw(stream(key, salt) + at.astype(np.uint64) * GOLDEN)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -90,10 +112,11 @@ class Lattices:
         self.logp = scores
         self.lowest = min(scores.values())
         self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.piece)
-        self.words = re.compile(self.cuts() if self.apart else r"(?s).+").findall
+        self.kind = self.kinds()
+        self.power = np.ones(1, np.uint64)
         self.by_id = np.full(sp.get_piece_size(), self.lowest)
         self.by_id[list(scores)] = list(scores.values())
-        self.by_length, self.seen, self.begun = {}, {}, {}
+        self.by_length, self.at, self.begun = {}, {}, {}
         self.bytes = {i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         for n in {len(p) for p in self.piece}:
             own = [p for p in self.piece if len(p) == n]
@@ -103,36 +126,105 @@ class Lattices:
             h = np.zeros(len(own), np.uint64)
             for i in range(n):
                 h = h * BASE + c[:, i]
-                self.begun.setdefault(i + 1, np.zeros(1 << 20, bool))[h >> np.uint64(44)] |= i + 1 < n
+                self.begun.setdefault(i + 1, np.zeros(1 << BITS, bool))[h >> np.uint64(64 - BITS)] |= i + 1 < n
             order = np.argsort(h)
-            self.by_length[n] = h[order], np.array([self.piece[p] for p in own])[order]
-            self.seen[n] = np.zeros(1 << 20, bool)  # by the top bits of the hash
-            self.seen[n][h >> np.uint64(44)] = True
+            h, slot = h[order], (h[order] >> np.uint64(64 - BITS)).astype(np.int64)
+            self.by_length[n] = h, np.array([self.piece[p] for p in own])[order]
+            self.at[n] = np.full(1 << BITS, -1, np.int32)  # by the top bits of the hash: the first piece with them
+            self.at[n][slot[::-1]] = np.arange(len(h))[::-1]
         self.skip_ids = sp.encode("\n")
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.forget()
 
-    def cuts(self) -> str:
-        """A pattern of stretches that no piece reaches over: lines and words, and
-        if the vocabulary allows it, letters apart from all other characters."""
-        inner = [p.lstrip(SPACE) for p in self.piece]
-        letter = re.compile(r"[^\W\d_]").fullmatch
-        mixed = lambda p, out: len({bool(letter(c)) and c not in out for c in p}) > 1
-        out = {c for p in inner if mixed(p, "") for c in p if letter(c) and not c.isalpha()}
-        if any(mixed(p, out) for p in inner):
-            return rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
-        out = "".join(map(re.escape, sorted(out)))
-        letters = rf"[^\W\d_{out}]+"
-        return rf"\n|{SPACE}*{letters}|{SPACE}*(?:[^\w\n{SPACE}]|[\d_{out}])+|{SPACE}+"
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.word_at, self.word_size = (np.empty(0, np.int64) for _ in range(2))  # by word: first node, nodes
-        self.n_nodes = 0
-        self.logq, self.share = np.empty(0), np.empty(0)
-        self.step, self.n_ids, self.id_at, self.ids = (np.empty(0, np.int32) for _ in range(4))
-        self.first = np.zeros(1, np.int64)  # of each node, its first edge
-        self.own_at, self.own_n, self.own = (np.empty(0, np.int64) for _ in range(3))  # the model's ids, by word
+    def kinds(self) -> np.ndarray:
+        """Kind of every character: line break, mark of a space, and if the vocabulary
+        keeps them apart, letters and all others. No piece reaches over a change of
+        kind, but that a space goes with what follows it."""
+        out = np.full(0x110000, 3, np.uint8)
+        if self.apart:
+            inner = [p.lstrip(SPACE) for p in self.piece]
+            letter = re.compile(r"[^\W\d_]").fullmatch
+            mixed = lambda p, odd: len({bool(letter(c)) and c not in odd for c in p}) > 1
+            odd = {c for p in inner if mixed(p, "") for c in p if letter(c) and not c.isalpha()}
+            if not any(mixed(p, odd) for p in inner):
+                every = "".join(map(chr, range(0x110000)))
+                for run in re.finditer(r"[^\W\d_]+", every):
+                    out[run.start() : run.end()] = 2
+                out[[ord(c) for c in odd]] = 3
+            out[ord("\n")], out[ord(SPACE)] = 0, 1
+        return out
+
+    def words(self, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the stretches that no piece reaches over; ``begins``: where texts do."""
+        kind = self.kind[codes]
+        fresh = np.empty(len(codes), bool)
+        before = kind[:-1]
+        fresh[1:] = (kind[1:] == 0) | (before == 0) | ((kind[1:] != before) & (before != 1))
+        fresh[begins] = True
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.append(start, len(codes)))
+        if size.max() > len(self.power):
+            self.power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()), BASE)), dtype=np.uint64)
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= self.power[np.arange(len(codes)) - np.repeat(start, size)]
+        h = np.add.reduceat(mixed, start) + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return start, h
+
+    def numbers(self, text: str, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words at ``start``; those not seen yet are learned."""
+        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        out = self.slot[slot]
+        lost = np.flatnonzero((out < 0) | (self.hash[out] != h)) if len(self.hash) else np.arange(len(h))
+        if len(lost):
+            own, first, inverse = np.unique(h[lost], return_index=True, return_inverse=True)
+            number = np.array([self.number.get(x, -1) for x in own.tolist()], np.int64)
+            if len(new := np.flatnonzero(number < 0)):
+                number[new] = len(self.hash) + np.arange(len(new))
+                ends = np.append(start, len(text))
+                for i in range(0, len(new), LEARNED):
+                    some = new[i : i + LEARNED]
+                    at = lost[first[some]]
+                    self.learn([text[x:y] for x, y in zip(start[at].tolist(), ends[at + 1].tolist(), strict=True)], own[some])
+            out[lost] = number[inverse]
+            self.slot[slot[lost]] = out[lost]
+        return out
+
+    def forget(self, least: int = 0) -> None:
+        """Drop words but for the most used, up to ``least`` edges."""
+        if not least:
+            self.number: dict[int, int] = {}  # by hash
+            self.hash, self.uses = np.empty(0, np.uint64), np.empty(0, np.int64)
+            self.slot = np.full(1 << SLOTS, -1, np.int64)
+            self.word_at, self.word_size = (np.empty(0, np.int64) for _ in range(2))  # by word: first node, nodes
+            self.n_nodes = 0
+            self.room: dict[str, np.ndarray] = {}
+            self.put(0, logq=np.empty(0), share=np.empty(0), step=np.empty(0, np.int32), n_ids=np.empty(0, np.int8))
+            self.put(0, id_at=np.empty(0, np.int32), ids=np.empty(0, np.int32))
+            self.first = np.zeros(1, np.int64)  # of each node, its first edge
+            self.own_at, self.own_n, self.own = (np.empty(0, np.int64) for _ in range(3))  # the model's ids, by word
+            return
+        edges = self.first[self.word_at + self.word_size] - self.first[self.word_at]
+        order = np.argsort(-self.uses, kind="stable")
+        keep = np.sort(order[np.cumsum(edges[order]) <= least])
+        edge = spread(self.first[self.word_at[keep]], edges[keep])
+        node = spread(self.word_at[keep], self.word_size[keep])
+        degree = self.first[node + 1] - self.first[node]
+        ids = spread(self.id_at[edge], self.n_ids[edge])
+        own = spread(self.own_at[keep], self.own_n[keep])
+        self.put(0, logq=self.logq[edge], share=self.share[edge], step=self.step[edge], n_ids=self.n_ids[edge], ids=self.ids[ids])
+        self.put(0, id_at=np.cumsum(self.n_ids) - self.n_ids)
+        self.first = np.append(0, np.cumsum(degree))
+        self.own, self.own_n = self.own[own], self.own_n[keep]
+        self.own_at = np.cumsum(self.own_n) - self.own_n
+        self.word_size = self.word_size[keep]
+        self.word_at, self.n_nodes = np.cumsum(self.word_size) - self.word_size, len(node)
+        self.hash, self.uses = self.hash[keep], self.uses[keep] // 2
+        self.number = dict(zip(self.hash.tolist(), range(len(keep)), strict=True))
+        self.slot = np.full(1 << SLOTS, -1, np.int64)
+        self.slot[(self.hash >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(keep))
 
     def own_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The model's ids of all words in a row, and how many each has.
@@ -165,7 +257,7 @@ class Lattices:
         h, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
         for n in range(1, self.longest + 1):
             if n > 1:  # only where some piece may still begin so
-                live = self.begun[n - 1][h >> np.uint64(44)] & (dist[at] >= n)
+                live = self.begun[n - 1][h >> np.uint64(64 - BITS)] & (dist[at] >= n)
                 at, h = at[live], h[live]
             if not len(at):
                 break
@@ -173,9 +265,13 @@ class Lattices:
             known, of = self.by_length.get(n, (None, None))
             if known is None:
                 continue
-            maybe = np.flatnonzero(self.seen[n][h >> np.uint64(44)])
-            k = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-            hit = known[k] == h[maybe]
+            k = self.at[n][h >> np.uint64(64 - BITS)]
+            maybe = np.flatnonzero(k >= 0)
+            k, own = k[maybe], h[maybe]
+            hit = known[k] == own
+            if len(behind := np.flatnonzero(known[k] < own)):  # another piece may have these bits too
+                k[behind] = np.minimum(np.searchsorted(known, own[behind]), len(known) - 1)
+                hit[behind] = known[k[behind]] == own[behind]
             if n == 1:
                 start.append(at)
                 ids.append(np.full(len(at), -1))
@@ -188,7 +284,20 @@ class Lattices:
         order = np.argsort(start, kind="stable")
         return start[order], length[order], ids[order]
 
-    def learn(self, words: list[str]) -> None:
+    def put(self, at: int | None, **arrays: np.ndarray) -> None:
+        """Write ``arrays`` from place ``at`` on (None: behind what there is), in room that is kept."""
+        for name, x in arrays.items():
+            begin = len(getattr(self, name)) if at is None else at
+            room = self.room.get(name)
+            if room is None:
+                room = np.empty(EDGES + EDGES // 8, x.dtype)  # pages that aren't written take no memory
+            if begin + len(x) > len(room):
+                room = np.concatenate([room[:begin], np.empty(len(x) + len(room) // 2, room.dtype)])
+            room[begin : begin + len(x)] = x
+            self.room[name] = room
+            setattr(self, name, room[: begin + len(x)])
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
         size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -213,12 +322,14 @@ class Lattices:
             x = np.exp(x - np.repeat(most, sizes[i:j]))
             back[own[heads[i:j]]] = most + np.log(np.add.reduceat(x, first))
         logq = np.minimum(logp + back[node + length] - back[node], 0.0)
-        first = np.searchsorted(start, np.arange(len(codes)))
+        counts = np.bincount(start, minlength=len(codes))
+        ends_at = np.cumsum(counts)
+        first = ends_at - counts
         q = np.exp(logq)
         total = np.cumsum(q)
-        total -= np.repeat(total[first] - q[first], np.diff(np.append(first, len(start))))
-        total = np.minimum(total, 1.0)
-        total[np.append(first[1:], len(start)) - 1] = 1.0
+        total -= np.repeat(total[first] - q[first], counts)
+        np.minimum(total, 1.0, out=total)
+        total[ends_at - 1] = 1.0
         n_ids = np.ones(len(ids), np.int32)
         lost = np.flatnonzero(ids < 0)
         own = {int(c): self.bytes_of(chr(c)) for c in np.unique(codes[start[lost]])}
@@ -226,19 +337,16 @@ class Lattices:
         flat = np.repeat(ids, n_ids).astype(np.int32)
         if len(lost):
             flat[flat < 0] = np.concatenate([own[c] for c in codes[start[lost]].tolist()])
-        self.id_at = np.concatenate([self.id_at, (len(self.ids) + np.cumsum(n_ids) - n_ids).astype(np.int32)])
-        self.n_ids = np.concatenate([self.n_ids, n_ids])
-        self.ids = np.concatenate([self.ids, flat])
-        self.logq = np.concatenate([self.logq, logq])
-        self.share = np.concatenate([self.share, total])
-        self.step = np.concatenate([self.step, length.astype(np.int32)])
+        self.put(None, id_at=len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids=n_ids, logq=logq, share=total, step=length)
+        self.put(None, ids=flat)
         edge = self.first[-1]
         self.first = np.concatenate([self.first[:-1], edge + first, [edge + len(start)]])
         own, sizes = self.own_ids(words)
         self.own_at = np.concatenate([self.own_at, len(self.own) + np.cumsum(sizes) - sizes])
         self.own_n = np.concatenate([self.own_n, sizes])
         self.own = np.concatenate([self.own, own])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.number.update(zip(hashes.tolist(), range(len(self.hash), len(self.hash) + len(words)), strict=True))
+        self.hash, self.uses = np.concatenate([self.hash, hashes]), np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.word_at = np.concatenate([self.word_at, self.n_nodes + ends - size])
         self.word_size = np.concatenate([self.word_size, size])
         self.n_nodes += len(codes)
@@ -253,24 +361,21 @@ class Batch:
 
     def __init__(self, lat: Lattices, texts: list[str], keys: np.ndarray):
         if len(lat.step) > EDGES:
-            lat.forget()
-        parts = [lat.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {w: None for p in parts for w in p if w not in lat.number}
-        if fresh:
-            lat.learn(list(fresh))
-        self.lat, self.n = lat, len(texts)
-        flat = [w for p in parts for w in p]
-        self.word = np.fromiter(map(lat.number.__getitem__, flat), np.int64, len(flat))
-        self.base, size = lat.word_at[self.word], lat.word_size[self.word]
-        ends = np.cumsum(size)
-        self.size, self.start = size, ends - size
-        self.total = int(ends[-1]) if len(flat) else 0
-        per = np.array([len(p) for p in parts], np.int64)
-        self.words_to = np.cumsum(per)
-        doc = np.repeat(np.arange(self.n), per)
-        self.from_ = np.append(self.start, self.total)[self.words_to - per] if len(flat) else np.zeros(self.n, np.int64)
-        self.to = np.append(self.from_[1:], self.total)
-        self.doc, self.keys = doc, keys
+            lat.forget(EDGES // 2)
+        text = "".join(SPACE + t.replace(" ", SPACE) for t in texts if t)
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        self.to = np.cumsum(lengths)
+        self.from_ = self.to - lengths
+        self.lat, self.n, self.total, self.keys = lat, len(texts), len(text), keys
+        if text:
+            self.start, h = lat.words(np.frombuffer(text.encode("utf-32-le"), np.uint32), self.from_[lengths > 0])
+            self.word = lat.numbers(text, self.start, h)
+        else:
+            self.start = self.word = np.empty(0, np.int64)
+        lat.uses += np.bincount(self.word, minlength=len(lat.uses))
+        self.base, self.size = lat.word_at[self.word], lat.word_size[self.word]
+        self.words_to = np.searchsorted(self.start, self.to)
+        self.doc = np.repeat(np.arange(self.n), np.diff(self.words_to, prepend=0))
 
     def own_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """The model's ids of all texts in a row, and where each text ends."""
@@ -282,23 +387,27 @@ class Batch:
     def walk(self, path: np.ndarray, which: np.ndarray, offset: np.ndarray, salt: int) -> None:
         """Random edges for words ``which``, each from its ``offset`` on, into ``path``."""
         lat = self.lat
-        base, size, start, doc = self.base[which], self.size[which], self.start[which], self.doc[which]
-        while len(which):
-            live = offset < size
+        at, ends = self.start[which] + offset, self.start[which] + self.size[which]
+        node = self.base[which] + offset
+        state = (stream(self.keys, salt) - self.from_.astype(np.uint64) * GOLDEN)[self.doc[which]]
+        live = at < ends
+        while True:
             if not live.all():
-                base, size, start, doc, offset = base[live], size[live], start[live], doc[live], offset[live]
-                which = which[live]
-                if not len(which):
-                    break
-            at = start + offset
-            u = uniform(self.keys[doc], salt, at - self.from_[doc])
-            edge = lat.first[base + offset]
+                live = np.flatnonzero(live)
+                at, ends, node, state = at[live], ends[live], node[live], state[live]
+            if not len(at):
+                break
+            u = draw(state + at.astype(np.uint64) * GOLDEN)
+            edge = lat.first[node]
             more = np.flatnonzero(lat.share[edge] <= u)
             while len(more):
                 edge[more] += 1
                 more = more[lat.share[edge[more]] <= u[more]]
             path[at] = edge
-            offset = offset + lat.step[edge]
+            step = lat.step[edge]
+            at += step
+            node += step
+            live = at < ends
 
     def sample(self, k: int) -> list[list[tuple]]:
         """Per text up to ``k`` of (edges, log p, perturbed), best first, then the threshold."""
@@ -311,7 +420,7 @@ class Batch:
         value = -np.log(-np.log(uniform(self.keys, 0, at0)))
         fork = {int(d): (int(self.from_[d]), 0.0, (), -1) for d in live}  # position, log p before, edges excluded, edge
         for s in range(1, k + 1):
-            path = np.full(self.total, -1, np.int64)
+            path = np.full(self.total, -1, np.int32)
             offset = np.full(len(self.size), -1, np.int64)
             for d, (at, _, _, edge) in fork.items():
                 low, high = (self.words_to[d - 1] if d else 0), self.words_to[d]
@@ -342,26 +451,33 @@ class Batch:
             for i, d in enumerate(chosen):
                 found[d].append((edges[low[i] : high[i]], float(total[i]), float(value[d])))
             begin = np.array([fork[int(d)][0] for d in chosen])
-            # A region is below the best by at least its distance in prefix mass: over 60 it never wins in double precision.
-            ahead = np.repeat(before[np.searchsorted(places, begin)], sizes)
-            near = np.flatnonzero((places >= np.repeat(begin, sizes)) & (before > ahead - 120))
-            own = np.repeat(np.arange(len(chosen)), sizes)[near]
-            places, edges, before, q = places[near], edges[near], before[near], np.exp(logq[near])
-            with np.errstate(divide="ignore"):
-                rest = np.maximum(1.0 - q, 0.0)
-                for i in np.flatnonzero(places == begin[own]):
-                    if gone := fork[int(chosen[own[i]])][2]:
-                        rest[i] = max(0.0, rest[i] - sum(np.exp(lat.logq[list(gone)])))
-                where = np.where(rest > 1e-13, before + np.log(rest), -np.inf)
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            most = np.repeat(np.maximum.reduceat(where, first), np.diff(np.append(first, len(own))))
-            live = np.flatnonzero((where > -np.inf) & (where > most - 60))
-            own, places, edges, before, where = own[live], places[live], edges[live], before[live], where[live]
+            # Noise spans less than 41 nats, so a region 60 below the best of its path can't
+            # come before it, nor one whose prefix is 80 below that of the first free place
+            # (the regions between have nearly all mass). Texts that have too few regions
+            # within that are looked at whole.
+            head = np.searchsorted(places, begin)
+            ahead = np.repeat(before[np.minimum(head + 1, high - 1)], sizes)
+            every, wanted = places >= np.repeat(begin, sizes), k - s + 1
+            part, whole = before > ahead - 80, np.zeros(len(chosen), bool)
+            while True:
+                near = np.flatnonzero(every & part)
+                own = np.repeat(np.arange(len(chosen)), sizes)[near]
+                where = before[near] + self.log_rest(chosen, fork, own, places[near], edges[near])
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                most = np.repeat(np.maximum.reduceat(where, first), np.diff(np.append(first, len(own))))
+                live = np.flatnonzero((where > -np.inf) & ((where >= most - 60) | whole[own]))
+                few = (np.bincount(own[live], minlength=len(chosen)) < wanted) & ~whole
+                if not few.any():
+                    break
+                whole |= few
+                part |= np.repeat(few, sizes)
+            own, near, where = own[live], near[live], where[live]
+            places, edges, before = places[near], edges[near], before[near]
             noise = -np.log(uniform(self.keys[chosen][own], 1000 + s, places - self.from_[chosen][own]))
             bound = where - np.log(np.exp(np.minimum(where - value[chosen][own], 700.0)) + noise)
             rank = np.lexsort((-bound, own))
             place = np.arange(len(rank)) - np.searchsorted(own[rank], own[rank])
-            for i in rank[place < k - s + 1]:  # of each path no more regions can be needed
+            for i in rank[place < wanted]:  # of each path no more regions can be needed
                 d, at = int(chosen[own[i]]), int(places[i])
                 gone = fork[d][2] if at == fork[d][0] else ()
                 heapq.heappush(queue[d], (-float(bound[i]), s - 1, at, float(before[i]), (*gone, int(edges[i]))))
@@ -377,6 +493,30 @@ class Batch:
             found[d].append(-queue[d][0][0] if queue[d] else -np.inf)
         return found
 
+    def log_rest(self, chosen: np.ndarray, fork: dict, own: np.ndarray, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Log probability of leaving paths ``own`` at places ``at`` by another edge than ``edge``."""
+        lat = self.lat
+        rest = 1.0 - np.exp(lat.logq[edge])
+        begin = np.array([fork[int(d)][0] for d in chosen])
+        gone = {int(i): x for i in np.flatnonzero(at == begin[own]) if (x := fork[int(chosen[own[i]])][2])}
+        small = rest < 1e-4
+        small[list(gone)] = True
+        small = np.flatnonzero(small)
+        w = np.searchsorted(self.start, at[small], side="right") - 1
+        node = self.base[w] + at[small] - self.start[w]
+        degree = lat.first[node + 1] - lat.first[node]
+        rest[small] = 0.0
+        small, node, degree = (x[degree > 1] for x in (small, node, degree))
+        if len(small):  # the other edges themselves, for 1 - q would be rounded away
+            mass = np.exp(lat.logq[spread(lat.first[node], degree)])
+            heads = np.cumsum(degree) - degree
+            mass[heads + edge[small] - lat.first[node]] = 0.0
+            for j in np.flatnonzero(np.isin(small, list(gone))):
+                mass[heads[j] + np.array(gone[int(small[j])]) - lat.first[node[j]]] = 0.0
+            rest[small] = np.add.reduceat(mass, heads)
+        with np.errstate(divide="ignore"):
+            return np.log(rest)
+
     def others(self, docs: list[int], at: list[int], gone: list[tuple], salt: int) -> list[int]:
         """For each text a random edge of its node at ``at`` that isn't among ``gone``."""
         if not docs:
@@ -398,8 +538,14 @@ class Batch:
         return edges[np.minimum(hit, last)].tolist()
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        lat = self.lat
-        return lat.ids[spread(lat.id_at[edges], lat.n_ids[edges])]
+        return self.lat.ids[spread(self.lat.id_at[edges], self.lat.n_ids[edges])]
+
+    def id_lists(self, paths: list[np.ndarray]) -> pa.Array:
+        """The ids of each path."""
+        lat, flat = self.lat, np.concatenate([*paths, np.empty(0, np.int64)])
+        counts = lat.n_ids[flat]
+        ends = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, paths)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lat.ids[spread(lat.id_at[flat], counts)], pa.int32()))
 
 
 SAMPLES = T.ArrayType(
@@ -427,25 +573,19 @@ def log_inclusion(logp: float, threshold: float) -> float:
     return 0.0 if x > 30 else float(x if x < -30 else np.log(-np.expm1(-np.exp(x))))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    flat = np.concatenate(parts) if parts else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-
-
 def encode_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> pa.StructArray:
     b = Batch(lat, texts, keys)
     own, ends = b.own_ids()
     back = lat.sp.decode([own[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)]) if texts else []
-    ids, numbers, upto = [], [], [0]
+    paths, numbers, upto = [], [], [0]
     for *found, threshold in b.sample(k) if k else ([-np.inf] for _ in texts):
         for edges, logp, value in found:
-            ids.append(b.ids(edges))
+            paths.append(edges)
             numbers.append((logp, value, log_inclusion(logp, threshold)))
-        upto.append(len(ids))
+        upto.append(len(paths))
     cols = np.array(numbers, np.float64).reshape(-1, 3)
     samples = pa.StructArray.from_arrays(
-        [_lists(ids), *(pa.array(cols[:, i]) for i in range(3))], names=["ids", "logp", "perturbed", "log_inclusion"]
+        [b.id_lists(paths), *(pa.array(cols[:, i]) for i in range(3))], names=["ids", "logp", "perturbed", "log_inclusion"]
     )
     first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.astype(np.int32)))
     same = pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())
@@ -455,13 +595,14 @@ def encode_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> p
 
 @lru_cache(1)
 def lattices(model: bytes) -> Lattices:
-    """One for each worker, which keeps the words of its last tasks."""
+    """One for each worker, which keeps the model from task to task, but no words."""
     return Lattices(model)
 
 
 def _encoder(model, text_at: int, key_at: int, k: int, keep_text: bool, out: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model.value)
+        lat.forget()  # a task that ends early leaves its words
         for b in batches:
             sizes = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(b.column(text_at)), 0))])
             at = 0
@@ -474,8 +615,9 @@ def _encoder(model, text_at: int, key_at: int, k: int, keep_text: bool, out: str
                 cols = [c for i, c in enumerate(part.columns) if keep_text or i != text_at]
                 names = [c for i, c in enumerate(part.schema.names) if keep_text or i != text_at]
                 yield pa.RecordBatch.from_arrays([*cols, encode_batch(lat, texts, keys, k)], names=[*names, out])
+        lat.forget()
 
-    return encode
+    return spared(encode)
 
 
 def encode(
@@ -523,4 +665,4 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model_path:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(spared(run), T.StructType([*fields, T.StructField(out, T.StringType())]))
