@@ -7,7 +7,8 @@ and adding up the lengths of the parts.
 The information-theoretic part protects every entity that a base span names
 (an address, a number). A term t reveals an entity e as far as their pointwise
 mutual information goes, PMI(t; e) = log2(N n(t, e) / (n(t) n(e))), with lines as
-contexts, counted over the whole corpus. Masking e as a generalisation g(e) (an
+contexts (a line of more than 512 characters is cut at the next white space, or
+at 1,024), counted over the whole corpus. Masking e as a generalisation g(e) (an
 email's domain, half an address, a card's issuer, a phone's country) already
 admits IC(g(e)) = -log2(n(g) / N); a term that stands with e in at least
 ``min_together`` lines and in more than that reveals is disclosed when
@@ -16,8 +17,11 @@ more lines than e and so is more general. Its occurrences in lines with e become
 spans of kind "term". sanitise() writes base spans as their generalisation and
 removes terms.
 
-Scale: only lines with entities are joined; term counts aggregate before they
-are shuffled; all joins are on hashed keys that adaptive execution can split.
+Scale: only contexts with entities are joined, and they are written once for all
+their uses; term counts aggregate before they are shuffled; all joins are on
+hashed keys that adaptive execution can split. Work grows with the power 1.5 of
+the spans of one text, as sums run in blocks (see running()); what is quadratic
+is so in a context only.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declario.llm.common import free_name
+from declario.llm.common import drop, free_name, materialise
 
 #: Kinds in order and their patterns. Each is the kind's own
 #: pattern, written so that no run of characters is scanned from every start:
@@ -54,41 +58,76 @@ def digits(c: Column) -> Column:
 def luhn(d: Column) -> Column:
     """True if the digit string passes Luhn's check."""
 
-    def add(total: Column, i: Column) -> Column:
-        v = F.substr(d, F.length(d) - i, F.lit(1)).cast("int")
-        twice = v * 2
-        return total + F.when(i % 2 == 0, v).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
+    def value(x: Column, i: Column) -> Column:
+        twice = x.cast("int") * 2
+        return F.when(i % 2 == 0, x.cast("int")).when(twice > 9, twice - 9).otherwise(twice)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), add) % 10 == 0
+    return F.aggregate(F.transform(F.split(F.reverse(d), "(?<=.)(?=.)"), value), F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def is_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & luhn(d)
 
 
 VALID = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: F.forall(F.split(v, r"\."), lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")),
-    "card": lambda v: F.length(digits(v)).between(13, 19) & luhn(digits(v)),
+    "card": lambda v: let(digits(v), is_card),
     "phone": lambda v: F.length(digits(v)).between(9, 15),
 }
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Spans of one kind: leftmost, not overlapping, checked without retries."""
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """For each length the sum of those before it.
+
+    A fold that grows an array copies it at every step, so sums run inside
+    blocks of about sqrt(n) lengths, then over the blocks.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("sums"))
 
     def add(acc: Column, x: Column) -> Column:
-        begin = acc.at + F.length(x.gap)
-        end = begin + F.length(x.value)
-        span = F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), begin.alias("start"), end.alias("end"), x.value.alias("value")
-        )
-        return F.struct(end.alias("at"), F.concat(acc.spans, F.array(span)).alias("spans"))
+        return F.struct((acc.at + x).alias("at"), F.concat(acc.sums, F.array(acc.at)).alias("sums"))
+
+    def by_block(own: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(own))).cast("int")
+        heads = F.when(F.size(own) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(own), size))
+        parts = F.transform(heads, lambda h: F.aggregate(F.slice(own, h, size), start, add))
+        return let(parts, whole)
+
+    def whole(parts: Column) -> Column:
+        before = F.aggregate(F.transform(parts, lambda p: p.at), start, add, lambda a: a.sums)
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p.sums, lambda x: x + b)))
+
+    return let(lengths, by_block)
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """(start, end, value) of the matches of a pattern, in order."""
+    both = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value"))
+    )
+
+    def add_up(pairs: Column) -> Column:
+        starts = running(F.transform(pairs, lambda p: (p.gap + F.coalesce(F.length(p.value), F.lit(0))).cast("bigint")))
+        return F.filter(F.zip_with(pairs, starts, span), lambda s: s.value.isNotNull())
+
+    def span(p: Column, at: Column) -> Column:
+        begin = at + p.gap
+        return F.struct(begin.alias("start"), (begin + F.length(p.value)).alias("end"), p.value.alias("value"))
 
-    pairs = F.transform(found, lambda v, i: F.struct(F.get(between, i).alias("gap"), v.alias("value")))
-    spans = F.aggregate(pairs, start, add, lambda acc: acc.spans)
-    checked = F.filter(spans, lambda s: VALID[kind](s.value))
-    return F.when(NEEDS[kind](text), checked).otherwise(F.array().cast(SPAN))
+    return let(both, add_up)
+
+
+def matches(text: Column, kind: str) -> Column:
+    """Spans of one kind: leftmost, not overlapping, checked without retries."""
+    right = F.filter(placed(text, PATTERNS[kind]), lambda s: VALID[kind](s.value))
+    spans = F.transform(right, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value")))
+    return F.when(NEEDS[kind](text), spans).otherwise(F.array().cast(SPAN))
 
 
 def generalised(kind: Column, value: Column) -> Column:
@@ -106,19 +145,24 @@ def entity(kind: Column, value: Column) -> Column:
     return F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(digits(value))
 
 
-def place_lines(text: Column) -> Column:
-    """(line, start): the lines of a text and the code points before them."""
-    empty = F.array().cast("array<struct<line: string, start: bigint>>")
+WORD = r"[\p{L}\p{N}]+"
+#: Contexts and the line breaks between them; together they are the text.
+CONTEXT = r"\n++|[^\n]{1,512}+[^\n\s]{0,512}+"
 
-    def add(acc: Column, x: Column) -> Column:
-        item = F.struct(x.alias("line"), acc.at.alias("start"))
-        return F.struct((acc.at + F.length(x) + 1).alias("at"), F.concat(acc.lines, F.array(item)).alias("lines"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("lines"))
-    return F.aggregate(F.split(text, "\n", -1), start, add, lambda acc: acc.lines)
+def contexts(text: Column) -> Column:
+    """(start, line) of the contexts of a text."""
 
+    def add_up(parts: Column) -> Column:
+        starts = running(F.transform(parts, lambda x: F.length(x).cast("bigint")))
+        both = F.zip_with(parts, starts, lambda x, at: F.struct(at.alias("start"), x.alias("line")))
+        return F.filter(both, lambda c: ~F.startswith(c.line, F.lit("\n")))
+
+    return let(F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0)), add_up)
 
-WORD = r"[\p{L}\p{N}]+"
+
+def words_of(line: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)))
 
 
 def found_entities(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -129,41 +173,48 @@ def found_entities(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def term_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_together: int = 3, alpha: float = 0.8
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_together: int = 3,
+    alpha: float = 0.8,
+    made: list[str] | None = None,
 ) -> DataFrame:
-    """(id, th, spans): places of the terms that disclose an entity of their line.
+    """(id, th, terms): places of the terms that disclose an entity of their context.
 
-    Entities with fewer than ``min_together`` lines can't have a term that meets
-    the support, so only the lines of the others are opened.
+    Entities in fewer than ``min_together`` contexts can't have a term that meets
+    the support, so only the contexts of the others are opened.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     any_base = F.lit(False)
     for k in KINDS:
         any_base = any_base | NEEDS[k](F.col("text"))
-    lines = source.where(any_base).select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    spans = F.concat(*(matches(F.col("line"), k) for k in KINDS))
-    lines = lines.withColumn("spans", spans).where("size(spans) > 0")
+    lines = source.where(any_base).select("id", "th", F.explode(contexts(F.col("text"))).alias("c")).select("id", "th", "c.*")
+    lines = lines.withColumn("spans", F.concat(*(matches(F.col("line"), k) for k in KINDS))).where("size(spans) > 0")
+    lines = materialise(lines, made)  # read for each of the counts below
     named = F.array_distinct(
         F.transform("spans", lambda s: F.struct(s.kind.alias("kind"), entity(s.kind, s.value).alias("entity"), generalised(s.kind, s.value).alias("general")))
     )
-    uses = lines.select("id", "th", "no", "line", F.explode(named).alias("e")).select("id", "th", "no", "line", "e.*")
+    place = ["id", "th", "start"]
+    uses = lines.select(*place, "line", "spans", F.explode(named).alias("e")).select(*place, "line", "spans", "e.*")
     n_entity = uses.groupBy("kind", "entity").agg(F.count("*").alias("n_e"), F.first("general").alias("general"))
-    n_general = uses.select("kind", "general", "id", "th", "no").distinct().groupBy("kind", "general").agg(F.count("*").alias("n_g"))
+    n_general = uses.select("kind", "general", *place).distinct().groupBy("kind", "general").agg(F.count("*").alias("n_g"))
     often = n_entity.where(F.col("n_e") >= min_together).join(n_general, ["kind", "general"])
-    opened = uses.join(often, ["kind", "entity"]).select("id", "th", "no", "line", "kind", "entity", "n_e", "n_g")
+    often = materialise(often.select("kind", "entity", "n_e", "n_g"), made)
+    opened = uses.join(often, ["kind", "entity"])
 
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
     together = (
-        opened.select("kind", "entity", "n_e", "n_g", F.explode(terms).alias("term"))
+        opened.select("kind", "entity", "n_e", "n_g", F.explode(words_of(F.col("line"))).alias("term"))
         .groupBy("kind", "entity", "n_e", "n_g", "term")
         .agg(F.count("*").alias("n_te"))
         .where(F.col("n_te") >= min_together)
     )
-    per_line = F.flatten(
-        F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
-    )
-    n_term = source.where("text IS NOT NULL").select(F.explode(per_line).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(source.where("text IS NOT NULL").agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0)
+    # One pass counts terms and, as the term null, contexts.
+    parts = F.filter(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(0)), lambda x: ~F.startswith(x, F.lit("\n")))
+    none = F.array(F.lit(None).cast("string"))
+    said = source.select(F.explode(F.flatten(F.transform(parts, lambda x: F.concat(none, words_of(x))))).alias("term"))
+    n_term = materialise(said.groupBy("term").agg(F.count("*").alias("n_t")), made)
+    n = F.lit((n_term.where("term IS NULL").first() or [None, 0])[1])
     ic = lambda c: -F.log2(F.col(c) / n)
     told = (
         together.join(n_term, "term")
@@ -171,30 +222,20 @@ def term_spans(
         .where(F.col("pmi") > F.greatest(F.when(F.col("n_g") > F.col("n_e"), ic("n_g")), F.lit(alpha) * ic("n_e")))
         .select("kind", "entity", "term")
     )
-    shown = told.groupBy("kind", "entity").agg(F.collect_set("term").alias("terms"))
-    hit = opened.join(shown, ["kind", "entity"]).select("id", "th", "no", "line", "terms")
-    words = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
-    gaps = F.split("line", WORD, -1)
-    pairs = F.transform(words, lambda w, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), w.alias("word")))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc.at + x.gap
-        end = begin + F.length(x.word)
-        item = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        told_ = F.array_contains("terms", F.lower(x.word))
-        return F.struct(end.alias("at"), F.when(told_, F.concat(acc.spans, item)).otherwise(acc.spans).alias("spans"))
-
-    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-    places = hit.select("id", "th", "no", F.explode(F.aggregate(pairs, start, add, lambda a: a.spans)).alias("s"))
-    return places.groupBy("id", "th").agg(F.collect_set(F.struct("no", "s.start", "s.end")).alias("terms"))
+    said_at = opened.select("kind", "entity", *place, "spans", F.explode(placed(F.col("line"), WORD)).alias("w"))
+    outside = ~F.exists("spans", lambda b: (b.start < F.col("w.end")) & (F.col("w.start") < b.end))
+    said_at = said_at.where(outside).select("kind", "entity", "id", "th", "start", "w", F.lower("w.value").alias("term"))
+    hit = said_at.join(told, ["kind", "entity", "term"])
+    span = F.struct((F.col("start") + F.col("w.start")).alias("start"), (F.col("start") + F.col("w.end")).alias("end"))
+    return hit.groupBy("id", "th").agg(F.collect_set(span).alias("terms"))
 
 
 def personal_data(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "private", min_together: int = 3, alpha: float = 0.8
 ) -> DataFrame:
     """``docs`` with a struct ``out``: base (spans of the four kinds by kind, then
-    start) and terms (spans by start that the method adds, outside base spans).
+    start) and terms (spans by start that the method adds, outside the base spans
+    of their context).
 
     Defined results: a null text is empty and has no spans; rows that share id
     and text share spans; a null id is an id like others; an empty table gives
@@ -202,19 +243,17 @@ def personal_data(
     """
     out = free_name(docs, out)
     key = [free_name(docs, "_id"), free_name(docs, "_th")]
-    added = term_spans(docs, doc_id, text, min_together, alpha).withColumnsRenamed({"id": key[0], "th": key[1], "terms": out})
+    made: list[str] = []
+    added = materialise(term_spans(docs, doc_id, text, min_together, alpha, made))
+    drop(docs.sparkSession, made)
+    added = added.withColumnsRenamed({"id": key[0], "th": key[1], "terms": out})
     t = F.coalesce(F.col(text), F.lit(""))
-    starts = F.transform(place_lines(t), lambda x: x.start)
-    base = F.concat(*(matches(t, k) for k in KINDS))
     own = docs.withColumn(key[1], F.xxhash64(text))
     same = [own[doc_id].eqNullSafe(added[key[0]]), own[key[1]] == added[key[1]]]
     both = own.join(added, same, "left").drop(added[key[1]]).drop(key[0])
-    base_name = free_name(both, "_base")
-    both = both.withColumn(base_name, base)
-    terms = F.transform(out, lambda s: F.struct((F.get(starts, s.no) + s.start).alias("start"), (F.get(starts, s.no) + s.end).alias("end")))
-    free = F.filter(terms, lambda s: ~F.exists(base_name, lambda b: (b.start < s.end) & (s.start < b.end)))
+    base = F.concat(*(matches(t, k) for k in KINDS))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    found = F.struct(F.col(base_name).alias("base"), F.when(F.col(out).isNull(), none).otherwise(F.array_sort(free)).alias("terms"))
+    found = F.struct(base.alias("base"), F.array_sort(F.coalesce(F.col(out), none)).alias("terms"))
     return both.withColumn(out, found).select(*docs.columns, out)
 
 
