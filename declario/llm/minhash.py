@@ -8,8 +8,8 @@ pair has lower variance than two independent minima. Bands of two permutations
 confirmed on the full sets. At J = 0.75 a pair shares none of 28 bands with
 probability 2.4e-5, at J = 0.8 with 4e-7.
 
-Scale: equal word sequences are one class from the start (a third of all rows
-may be one). Within a bucket no pairs are listed: in each round a bucket names
+Scale: equal word sequences are one class from the start, with a number of its
+own (a third of all rows may be one). Within a bucket no pairs are listed: in each round a bucket names
 one pivot, a member asks only for the pivot it shares most buckets with, and
 buckets whose members already are one component drop out. What several rounds
 leave are few members in different components; those are compared outright.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declario.llm.common import discard, materialise
+from declario.llm.common import drop, free_name, materialise, spared
 
 RARE = 16
 _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -90,7 +90,7 @@ def _sketcher(ngram: int, minmax: MinMax):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, keys, ends = [], [], [], [0]
-            for text in b.column(1):
+            for text in b.column(3):
                 w = words(text.as_py())
                 s = shingles(w, ngram)
                 sizes.append(len(s))
@@ -101,11 +101,11 @@ def _sketcher(ngram: int, minmax: MinMax):
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands],
-                names=["id", "n", "digest", "bands"],
+                [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands],
+                names=["id", "th", "nul", "n", "digest", "bands"],
             )
 
-    return sketch
+    return spared(sketch)
 
 
 def _confirmer(ngram: int, num: int, den: int):
@@ -124,7 +124,7 @@ def _confirmer(ngram: int, num: int, den: int):
                 keep.append(den * both >= num * (len(s) + len(held) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return confirm
+    return spared(confirm)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
@@ -141,13 +141,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int
     return got.mapInArrow(_confirmer(ngram, num, den), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b).
 
     Each large-star step hangs a node's larger neighbours on its smallest
     neighbour, each small-star step the smaller ones; both keep the components.
+    What is written and needed afterwards is added to ``made``.
     """
-    now = materialise(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
+    last: list[str] = []
+    now = materialise(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), last)
     while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -160,8 +162,11 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        before, now = now, materialise(small)
-        discard(before)
+        before, last = last, []
+        now = materialise(small, last)
+        drop(edges.sparkSession, before)
+    if made is not None:
+        made += last
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -180,20 +185,20 @@ def _exploder(ngram: int):
             flat = np.concatenate(own) if own else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(flat.view(np.int64))], names=["id", "s"])
 
-    return explode
+    return spared(explode)
 
 
-def unresolved(crowd: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+def unresolved(crowd: DataFrame, texts: DataFrame, ngram: int, percent: int, made: list[str]) -> DataFrame:
     """Pairs (a, b) of ``crowd`` (key, id, comp) in different components that may be
     linked. The bound on an intersection is exact, see above."""
     ids = crowd.select("id", "comp").distinct()
     own = texts.join(ids.select("id"), "id").select("id", "text")
-    own = materialise(own.mapInArrow(_exploder(ngram), "id long, s long"))
+    own = materialise(own.mapInArrow(_exploder(ngram), "id long, s long"), made)
     rare = own.join(own.groupBy("s").agg(F.count("*").alias("c")).where(f"c <= {RARE}"), "s")
     sizes = own.groupBy("id").agg(F.count("*").alias("n"))
     odd = rare.groupBy("id").agg(F.count("*").alias("r"))
     known = ids.join(sizes, "id").join(odd, "id", "left").select("id", "comp", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("s"))
-    known = materialise(known)
+    known = materialise(known, made)
     other = known.select(F.col("id").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
 
     listed = F.sort_array(F.collect_list("id"))  # RARE ids at most
@@ -202,11 +207,11 @@ def unresolved(crowd: DataFrame, texts: DataFrame, ngram: int, percent: int) ->
     fits = f"comp <> other AND 100 * (least(s, t) + q) >= {percent} * (n + m - least(s, t) - q)"
     by_rare = together.join(known.withColumnRenamed("id", "a"), "a").join(other, "b").where(fits).select("a", "b")
 
-    crowd = materialise(crowd.select("key", "id").join(known, "id"))
+    crowd = materialise(crowd.select("key", "id").join(known, "id"), made)
     least = crowd.groupBy("key").agg(F.min("n").alias("m"))
     near = crowd.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(m, s) - s)").drop("m")
     near = near.join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")  # a key for each band at most
-    near = materialise(near)
+    near = materialise(near, made)
     right = near.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("keys").alias("keys_b"))
     fits = f"id < b AND comp <> other AND 100 * least(s, t) >= {percent} * (n + m - least(s, t)) AND array_min(array_intersect(keys, keys_b)) = key"
     by_bucket = near.join(right, "key").where(fits).select(F.col("id").alias("a"), "b")
@@ -234,24 +239,85 @@ def near_duplicates(
     Documents with 100 * intersection >= percent * union are linked; the
     component is named by its smallest id. Defined results: null, empty or
     blank texts have an empty set and are linked with nothing; fewer words than
-    ``ngram`` make one shingle; repeated rows get the same answer; a row whose
+    ``ngram`` make one shingle; rows that share an id are documents of their own,
+    each by its own text, and a repeated row gets the same answer; a row whose
     id is null is linked with nothing, has a null component and is kept; an
     empty table gives an empty result. Only the two named columns are read.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = materialise(
-        docs.mapInArrow(_sketcher(ngram, MinMax(bands, rows)), "id long, n long, digest binary, bands array<long>")
-    )
-    named = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    own = docs.where(F.col(doc_id).isNotNull())
+    rest = docs.where(F.col(doc_id).isNull())
+    found = _labelled(own, doc_id, text, ngram, percent, bands, rows, pivot_rounds)
+    found = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep.id", "id").alias("component_id"))
+    found = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = rest.select(F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("th"), F.lit(True).alias("nul"), F.col(text).alias("text"))
+    alone = alone.mapInArrow(_sketcher(ngram, MinMax(bands, rows)), SKETCH)
+    return found.union(alone.select("id", "n", F.lit(None).cast("long"), F.lit(True)))
+
+
+def one_of_each(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    ngram: int = 5,
+    percent: int = 75,
+    bands: int = 28,
+    rows: int = 4,
+    pivot_rounds: int = 2,
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest
+    id, and of several texts under it the one with the smallest hash.
 
-    each = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    each = each.select("id", F.explode("bands").alias("key"))
+    Defined results: rows without id are documents like others and come last in
+    order; of rows that share id and text the smallest stays, by its columns in
+    order; texts without words are linked with nothing, so of them only rows
+    that share id and text are repeats; an empty table gives an empty result.
+    """
+    found = _labelled(docs, doc_id, text, ngram, percent, bands, rows, pivot_rounds)
+    found = materialise(found.select(*KEY, F.coalesce(F.col("rep") != F.struct(*KEY), F.lit(False)).alias("gone")))
+    mark = {c: free_name(docs, f"_{c}") for c in KEY}
+    names = list(mark.values())
+    gone = found.where("gone").select(*KEY).distinct().withColumnsRenamed(mark)
+    again = materialise(found.where("NOT gone").groupBy(*KEY).agg(F.count("*").alias("c")).where("c > 1").select(*KEY).withColumnsRenamed(mark))
+    keyed = docs.select("*", *(c.alias(mark[k]) for k, c in _key(doc_id, text).items()))
+    kept = keyed.join(gone, names, "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.join(again, names, "left_anti").select(docs.columns).union(once.select("row.*"))
+
+
+KEY = ["nul", "id", "th"]
+SKETCH = "id long, th long, nul boolean, n long, digest binary, bands array<long>"
+
+
+def _key(doc_id: str, text: str) -> dict:
+    """What a row is known by: rows that share id and text are repeats. Without nulls, to be joined."""
+    return {
+        "nul": F.col(doc_id).isNull(),
+        "id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
+        "th": F.coalesce(F.xxhash64(text), F.lit(0)),
+    }
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, ngram: int, percent: int, bands: int, rows: int, pivot_rounds: int) -> DataFrame:
+    """(nul, id, th, n, rep) of every row; rep: the least (nul, id, th) of its
+    component, null where the row is alone.
+
+    Rows with the same words are one class, which has a number of its own.
+    """
+    key = _key(doc_id, text)
+    docs = docs.select(*(key[c].alias(c) for c in ("id", "th", "nul")), F.col(text).alias("text"))
+    sketches = materialise(docs.mapInArrow(_sketcher(ngram, MinMax(bands, rows)), SKETCH))
+    classes = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct(*KEY)).alias("r"), F.count("*").alias("c"), F.first("bands").alias("bands"))
+    made: list[str] = []
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), made)
+
+    each = classes.select("id", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = materialise(each.join(shared, "key"))
+    buckets = materialise(each.join(shared, "key"), made)
     _free(buckets)
-    asked = materialise(buckets.groupBy("id").agg(F.sum("c").alias("company")))
-    texts = materialise(docs.join(asked, "id").where("text IS NOT NULL"))
+    asked = materialise(buckets.groupBy("id").agg(F.sum("c").alias("company")), made)
+    texts = _texts(docs, sketches, classes.join(asked.select("id"), "id").select(F.col("id").alias("cls"), "r.*"), made)
     _free(texts)
     labels = asked.withColumn("comp", F.col("id"))
     tested, merges = None, None
@@ -268,32 +334,40 @@ def near_duplicates(
                 pairs = pairs.join(tested.selectExpr("a AS id", "b"), ["id", "b"], "left_anti")
             pairs = pairs.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
         else:
-            crowd = materialise(open_.join(differ.select("key"), "key").drop("company"))
+            crowd = materialise(open_.join(differ.select("key"), "key").drop("company"), made)
             if crowd.isEmpty():
                 break
-            pairs = unresolved(crowd, texts, ngram, percent)
+            pairs = unresolved(crowd, texts, ngram, percent, made)
             if tested is not None:
                 pairs = pairs.join(tested.union(tested.selectExpr("b AS a", "a AS b")), ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = materialise(pairs, made)
         if pairs.isEmpty():
             continue
-        links = materialise(confirmed(pairs, texts, ngram, percent, 100))
+        links = materialise(confirmed(pairs, texts, ngram, percent, 100), made)
         _free(links)
         tested = pairs if tested is None else tested.union(pairs)
         if links.isEmpty():
             continue
         merges = links if merges is None else merges.union(links)
-        labels = asked.join(components(merges), F.col("id") == F.col("node"), "left")
-        labels = materialise(labels.select("id", "company", F.coalesce("component", "id").alias("comp")))
-    found = classes.join(labels.selectExpr("id", "comp AS found"), "id", "left").select(
-        "digest", F.coalesce("found", "id").alias("component_id"), "c", F.col("id").alias("first_id")
-    )
+        labels = asked.join(components(merges, made), F.col("id") == F.col("node"), "left")
+        labels = materialise(labels.select("id", "company", F.coalesce("component", "id").alias("comp")), made)
+    found = classes.join(labels.selectExpr("id", "comp AS found"), "id", "left").select("digest", F.coalesce("found", "id").alias("comp"), "c", "r")
+    least = found.groupBy("comp").agg(F.min("r").alias("rep"))
     # Written first, so that the last join has nothing but exchanges below it and a hot class can be split.
-    found = materialise(found.where("c > 1 OR component_id <> first_id").select("digest", "component_id"))
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return (
-        sketches.select("id", "n", "digest")
-        .join(found, "digest", "left")
-        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
-    )
+    found = materialise(found.join(least, "comp").where("c > 1 OR rep <> r").select("digest", "rep"))
+    drop(docs.sparkSession, made)
+    return sketches.select(*KEY, "n", "digest").join(found, "digest", "left").select(*KEY, "n", "rep")
+
+
+def _texts(docs: DataFrame, sketches: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
+    """(id, text), one for each of ``wanted`` (cls, nul, id, th).
+
+    Copies of a repeated row meet in a partial aggregate before the shuffle;
+    all other rows are joined as they are.
+    """
+    again = sketches.where("n > 0").groupBy(*KEY).agg(F.count("*").alias("c")).where("c > 1").select(*KEY)
+    again = materialise(again, made)
+    if not again.isEmpty():
+        once = docs.join(again, KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+        docs = docs.join(again, KEY, "left_anti").select(*KEY, "text").union(once)
+    return materialise(docs.join(wanted, KEY).select(F.col("cls").alias("id"), "text"), made)

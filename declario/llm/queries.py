@@ -61,7 +61,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, spans = private.listed()
     kinds = F.transform("private.base", lambda s: s.kind)
     counts = [F.size(F.filter(kinds, private.is_kind(k))).cast("long").alias(f"n_{k}") for k in private.KINDS]
-    return got.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    every = (F.size("private.base") + F.size("private.terms")).cast("long")
+    return got.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), every.alias("n_spans"))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,19 +129,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+#: Every row is a document of its own, also where an id comes again; rows without id are linked with nothing.
 OP2_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
- s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS g, len(w) < 5 AS small
-   FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i) WHERE len(w) > 0),
- n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
- p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b
-   ON a.g = b.g AND a.small = b.small AND a.doc_id < b.doc_id GROUP BY 1, 2),
- l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS g, len(w) < 5 AS small
+   FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i) WHERE len(w) > 0),
+ n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+ k AS (SELECT s.* FROM s JOIN d USING (r) WHERE doc_id IS NOT NULL),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM k a JOIN k b
+   ON a.g = b.g AND a.small = b.small AND a.r < b.r GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
  e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
- r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
-FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) m ON m.d = w.doc_id
+ t AS (SELECT r, doc_id AS c FROM d WHERE doc_id IS NOT NULL UNION SELECT e.b, t.c FROM t JOIN e ON e.a = t.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, coalesce(d.doc_id = m.c, true) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN (SELECT r, min(c) AS c FROM t GROUP BY 1) m USING (r)
 """
 
 OP5_SQL = r"""
