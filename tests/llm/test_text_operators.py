@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -314,3 +315,112 @@ def test_encode_frame(spark, lattices):
     among = pieces.encode_batch(lattices, ["z", "a b"], np.array([8, 9], np.uint64), 2)[1].as_py()
     assert [s["ids"] for s in among["samples"]] == [s["ids"] for s in alone["samples"]]
     assert [s["logp"] for s in among["samples"]] == pytest.approx([s["logp"] for s in alone["samples"]])
+
+
+def test_forgotten_words_change_nothing(lattices, monkeypatch):
+    """Samples don't depend on which words a worker has kept."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("aeiourstnl"), rng.integers(1, 9))) for _ in range(60)) + "\n." for _ in range(40)]
+    keys = np.arange(40, dtype=np.uint64)
+    lattices.forget()
+    whole = pieces.encode_batch(lattices, texts, keys, 2).to_pylist()
+    monkeypatch.setattr(pieces, "EDGES", 500)
+    monkeypatch.setattr(pieces, "LEARNED", 7)
+    lattices.forget()
+    each = [pieces.encode_batch(lattices, [t], keys[i : i + 1], 2)[0].as_py() for i, t in enumerate(texts)]
+    assert [[s["ids"] for s in r["samples"]] for r in whole] == [[s["ids"] for s in r["samples"]] for r in each]
+    assert all(r["round_trip"] and r["ids"] == lattices.sp.encode(t) for r, t in zip(each, texts, strict=True))
+    lattices.forget()
+
+
+def test_every_segmentation_is_found(lattices):
+    """More samples asked for than there are: all come, also such of tiny probability."""
+
+    def count(w):
+        return 1 if not w else sum(count(w[j:]) for j in range(1, len(w) + 1) if w[:j] in lattices.piece)
+
+    for text in ("to", "cat", "tion", "a b"):
+        n = count(pieces.SPACE + text.replace(" ", pieces.SPACE))
+        r = pieces.encode_batch(lattices, [text], np.array([3], np.uint64), n + 3)[0].as_py()
+        assert len({tuple(s["ids"]) for s in r["samples"]}) == len(r["samples"]) == n
+        assert abs(sum(np.exp(s["logp"]) for s in r["samples"]) - 1) < 1e-9
+
+
+def plain_terms(rows, min_together=3, alpha=0.8):
+    """Spans of terms by the definition, counted context by context in plain Python."""
+    place, lines, n_t, n = {}, [], {}, 0
+    name = lambda k, v: v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
+
+    def mask(k, v):
+        d = re.sub("[^0-9]", "", v)
+        return v.split("@", 1)[1] if k == "email" else ".".join(v.split(".")[:2]) if k == "ip" else d[:6] if k == "card" else "+" + d[:2]
+
+    for doc, text in rows:
+        at = 0
+        for line in (text or "").split("\n"):
+            if line:
+                n += 1
+                for w in {x.lower() for x in re.findall(r"[^\W_]+", line)}:
+                    n_t[w] = n_t.get(w, 0) + 1
+                spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in plain_spans(line).split(",") if s)]
+                if spans:
+                    lines.append((doc, at, line, spans, {(k, name(k, line[a:b]), mask(k, line[a:b])) for k, a, b in spans}))
+            at += len(line) + 1
+    together, n_e, n_g = {}, {}, {}
+    for _, _, line, _, entities in lines:
+        for k, e, _ in entities:
+            n_e[k, e] = n_e.get((k, e), 0) + 1
+            for w in {x.lower() for x in re.findall(r"[^\W_]+", line)}:
+                together[k, e, w] = together.get((k, e, w), 0) + 1
+        for g in {(k, g) for k, _, g in entities}:
+            n_g[g] = n_g.get(g, 0) + 1
+    for doc, at, line, spans, entities in lines:
+        for k, e, g in entities:
+            for m in re.finditer(r"[^\W_]+", line):
+                both = together[k, e, m[0].lower()]
+                if both < min_together or any(a < m.end() and m.start() < b for _, a, b in spans):
+                    continue
+                pmi = np.log2(n * both / (n_t[m[0].lower()] * n_e[k, e]))
+                bound = alpha * -np.log2(n_e[k, e] / n)
+                if n_g[k, g] > n_e[k, e]:
+                    bound = max(bound, -np.log2(n_g[k, g] / n))
+                if pmi > bound:
+                    place.setdefault(doc, set()).add((at + m.start(), at + m.end()))
+    return place
+
+
+def test_terms_equal_plain_counts(spark):
+    rng = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    people = ["ann@corp.example", "bob@corp.example", "10.1.2.3", "10.1.9.9", "+49 30 1234567", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.choices(words, k=5)) for _ in range(4)]
+        if i % 2:
+            who = rng.randrange(len(people))
+            lines.append(f"{rng.choice(words)} nick{who} {people[who]} {rng.choice(words)} Étage{who % 2}")
+        rows.append((i, "\n".join(lines) + "\n" * (i % 3)))
+    got = rows_of(private.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = plain_terms(rows)
+    assert want and {r["doc_id"]: {(s["start"], s["end"]) for s in r["private"]["terms"]} for r in got if r["private"]["terms"]} == want
+
+
+def test_dense_text(spark):
+    """A text of many lines and spans, and one of a single line without a space."""
+    lines = [f"user{i}@host{i % 7}.example called 10.0.{i % 200}.{i // 200}" for i in range(20_000)]
+    run = ",".join(f"a{i}@b.co" for i in range(2_000))
+    got = {r["doc_id"]: r["private"]["base"] for r in rows_of(private.personal_data(spark.createDataFrame([(1, "\n".join(lines)), (2, run)], "doc_id long, text string")))}
+    for i, text in ((1, "\n".join(lines)), (2, run)):
+        assert ",".join(f"{private.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in got[i]) == plain_spans(text)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        extract.blocks("<i>" * n + "<hr>x</q>" * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(0.05, seconds(4_000))
