@@ -12,10 +12,12 @@ whose leaves hold fewer than ``k + 1`` rows goes on until they do.
 Scale: the tree is broadcast (its nodes are bounded by ``max_fit`` over
 ``leaf_size``, a few MB). Vectors that are equal keep their ``k + 1`` smallest
 ids before anything else: no other copy can be among the k nearest, as ties go
-to smaller ids (a third of all rows may be one vector). Rows and visits meet on
-(leaf, part): a leaf with more than ``block`` rows is dealt into parts by a hash
-and its visits go to each part. Scores are double precision on the original
-vectors; the k best of each part are merged by rank.
+to smaller ids (a third of all rows may be one vector). Rows and visits meet in
+blocks of a leaf: both its rows and its visits are dealt into parts of about
+``block`` by a hash, and every part of the one meets every part of the other, so
+no task holds more than two parts however large a leaf grows. Unit vectors
+choose candidates; all within rounding of the k-th are scored again in double
+precision on the original vectors, and the k best of each block are merged by rank.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from declario.llm.common import materialise
+from declario.llm.common import materialise, spared
 
 
 class Tree:
@@ -95,7 +97,16 @@ class Tree:
         return out
 
 
+SLACK = 1e-9  # unit vectors' products are within this of the measure
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x) if x.size else x
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
@@ -174,22 +185,32 @@ def nearest(
     """(query_id, rank, vec_id, score): cosine neighbours of ``queries`` in ``vectors``.
 
     Defined results: vectors that are null, empty, zero or hold a null or a
-    number that isn't finite take no part, nor do rows without id; vectors of
-    another length than most of the sample take no part either; fewer than k
-    candidates give all of them; a repeated id counts once, by its first vector
-    in order of components; an empty table gives an empty result.
+    number that isn't finite take no part, nor do rows without id; vectors are
+    compared with vectors of their own length; fewer than k candidates give all
+    of them; a repeated id counts once, by its first vector in order of
+    components; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, vector)
-    chosen = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_fit)
-    sample = rows.join(F.broadcast(chosen), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()
+    rows = usable(vectors, vec_id, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = usable(queries, vec_id, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    widths = sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect())  # a row for each length
+    for n in widths:
+        fits = F.size("v") == n
+        part = _nearest(rows.where(fits), asked.where(fits), k, recall, max_fit, n_probe, branch, leaf_size, block)
+        found = part if len(widths) == 1 else found.union(part)
+    return found
+
+
+def _nearest(
+    rows: DataFrame, asked: DataFrame, k: int, recall: float, max_fit: int, n_probe: int, branch: int, leaf_size: int, block: int
+) -> DataFrame:
+    """nearest() of usable vectors of one length, one for each id."""
+    spark = rows.sparkSession
+    chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_fit)
+    sample = rows.join(F.broadcast(chosen), "vec_id").toArrow()
     out = "query_id long, rank int, vec_id long, score double"
-    if not sample.num_rows:
-        return spark.createDataFrame([], out)
     by_id = sorted(zip(sample["vec_id"].to_pylist(), sample["v"].to_pylist(), strict=True))
-    sizes = [len(v) for _, v in by_id]
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n)) if len(set(sizes)) > 1 else sizes[0]
-    tree = Tree(unit(np.array([v for _, v in by_id if len(v) == width])), branch, leaf_size)
+    tree = Tree(unit(np.array([v for _, v in by_id])), branch, leaf_size)
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +218,9 @@ def nearest(
             leaf = shared.value.leaf_of(unit(matrix(b.column(1)))) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf), b.column(1)], names=["vec_id", "leaf", "v"])
 
-    fits = rows.where(F.size("v") == width)
-    copies = fits.groupBy("vec_id").agg(F.min("v").alias("v"))
     same = Window.partitionBy("v").orderBy("vec_id")
-    few = copies.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
-    index = materialise(few.mapInArrow(assign, "vec_id long, leaf long, v array<double>"))
-    asked = usable(queries, vec_id, vector).where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
+    few = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
+    index = materialise(few.mapInArrow(spared(assign), "vec_id long, leaf long, v array<double>"))
     asked = materialise(asked)
     probe = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_probe).toArrow()
     probes = list(zip(probe["vec_id"].to_pylist(), map(np.array, probe["v"].to_pylist()), strict=True))
@@ -224,37 +242,55 @@ def nearest(
             leaves = [shared.value.order(q, visits, sizes, k + 1) for q in unit(matrix(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
-    parts = F.broadcast(counts.select("leaf", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    dealt = index.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).select("leaf", "part", "vec_id", "v")
-    asked_at = asked.mapInArrow(bins, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf"))
-    asked_at = asked_at.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q")
+    bound = materialise(asked.mapInArrow(spared(bins), "query_id long, q array<double>, leaves array<long>"))
+    visited = bound.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("visits"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    parts = materialise(counts.join(visited, "leaf").select("leaf", blocks("n").alias("parts"), blocks("visits").alias("turns")))
+    parts = F.broadcast(parts)  # a row for each leaf
+    deal = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = index.join(parts, "leaf").select("leaf", deal("vec_id", "parts").alias("part"), each("turns").alias("turn"), "vec_id", "v")
+    asked_at = bound.select("query_id", "q", F.explode("leaves").alias("leaf")).join(parts, "leaf")
+    asked_at = asked_at.select("leaf", each("parts").alias("part"), deal("query_id", "turns").alias("turn"), "query_id", "q")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        got: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            x = unit(matrix(left["v"].combine_chunks()))
-            row, q_ids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+            v, ids = matrix(left["v"].combine_chunks()), left["vec_id"].to_numpy()
+            x = unit(v)
             for at in range(0, right.num_rows, 512):
-                q = unit(matrix(right["q"].slice(at, 512).combine_chunks()))
-                for i, s in enumerate(q @ x.T):
-                    own = np.flatnonzero(row != q_ids[at + i])
-                    near = own[best(s[own], row[own], k + 3)]
-                    got += [(q_ids[at + i], row[j], float(a), x_) for j, a, x_ in zip(near, s[near], near, strict=True)]
-        score = []
-        if got:
-            v, queries_ = matrix(left["v"].combine_chunks()), matrix(right["q"].combine_chunks())
-            place = {q: i for i, q in enumerate(right["query_id"].to_pylist())}
-            score = [cosine(queries_[place[g[0]]], v[g[3]]) for g in got]
-        return pa.table(
-            {"query_id": pa.array([int(g[0]) for g in got], pa.int64()), "vec_id": pa.array([int(g[1]) for g in got], pa.int64()), "score": pa.array(score, pa.float64())}
-        )
-
-    met = dealt.groupBy("leaf", "part").cogroup(asked_at.groupBy("leaf", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
+                some = right.slice(at, 512)
+                raw = matrix(some["q"].combine_chunks())
+                for q, own, s in zip(some["query_id"].to_numpy(), raw, unit(raw) @ x.T, strict=True):
+                    s[ids == q] = -np.inf
+                    near = candidates(s, k)
+                    score = cosines(own, v[near])
+                    top = np.lexsort((ids[near], -score))[:k]
+                    found.append((np.full(len(top), q), ids[near][top], score[top]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    place = ["leaf", "part", "turn"]
+    met = dealt.groupBy(*place).cogroup(asked_at.groupBy(*place)).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
+def candidates(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of all scores that can be among the k largest, given their rounding."""
+    live = np.flatnonzero(s > -np.inf)
+    if len(live) <= k:
+        return live
+    cut = np.partition(s[live], len(live) - k)[len(live) - k]
+    return live[s[live] >= cut - SLACK]
+
+
+def cosines(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """In double precision, the same for equal vectors whatever stands around them."""
-    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+    a, rows = scaled(a), scaled(rows)
+    return (rows * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((rows * rows).sum(axis=1)))
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(cosines(a, b[None])[0])
