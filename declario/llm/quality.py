@@ -8,15 +8,15 @@ h = tanh(x W). Gated attention, a = softmax(w . (tanh(h V) *
 sigmoid(h U))), is learned from document labels alone, and the score is the
 sigmoid of a linear function of the weighted sum of h.
 
-Labels come from at most ``max_train`` labelled documents, those with the
-smallest hash of their id (that bound is the parameter to raise). They are
-encoded on Spark; the driver fits a network of a few thousand weights on at
-most ``max_passages`` of their encodings (longer texts give every n-th passage
-when they train; a score always reads all passages).
+Labels come from a bounded sample of labelled documents: those with the smallest
+hash of their id, ``max_train`` at most, and of these in the same order as many
+as have ``max_passages`` passages together (those two bounds are the parameters
+to raise). They are encoded whole on Spark; the driver fits a network of a few
+thousand weights on all their passages, kept as float16.
 
 Defined results: null and empty texts are one empty passage; a document with
-several labels counts once for each; rows without id teach nothing; without
-training rows all scores are 0.5; an empty table gives an empty result.
+several labels counts once for each; a repeated row teaches once; rows without
+id teach nothing; without training rows all scores are 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from declario.llm.common import free_name, held_out
+from declario.llm.common import free_name, held_out, spared
 
 WIDTH = 400
 PAIRS = 256
@@ -100,7 +100,7 @@ class Attention:
         """``first``: of each bag, its first row."""
         p = self.p
         bag = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-        x = (x - self.mean) / self.scale
+        x = (x - self.mean) / self.scale  # float16 becomes float64 here, batch by batch
         h = np.tanh(x @ p["W"])
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         e = (t * g) @ p["w"]
@@ -123,7 +123,9 @@ class Attention:
     def fit(self, x: np.ndarray, first: np.ndarray, want: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01) -> Attention:
         if not len(first):
             return self
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.01
+        self.mean = x.mean(axis=0, dtype=np.float64)
+        square = sum((x[k : k + BATCH].astype(np.float64) ** 2).sum(axis=0) for k in range(0, len(x), BATCH)) / len(x)
+        self.scale = np.sqrt(np.maximum(square - self.mean**2, 0.0)) + 0.01
         rng, step = np.random.default_rng(7), 0
         last = np.append(first[1:], len(x))
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -156,17 +158,16 @@ class Attention:
         return float(_sigmoid(z / total @ p["c"] + p["b"])[0])
 
 
-def _encoder(per_text: int):
+def _encoder():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                rows = passages(b.column(2)[i].as_py())
-                x = encode(rows[:: -(-len(rows) // per_text)])
+                x = encode(passages(b.column(2)[i].as_py())).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.tobytes()], pa.binary())], names=["id", "label", "x"]
                 )
 
-    return run
+    return spared(run)
 
 
 def train(
@@ -176,19 +177,31 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     max_train: int = 3000,
-    max_passages: int = 8,
+    max_passages: int = 40_000,
 ) -> Attention:
-    """Fitted on labelled rows that aren't held out; at most max_train documents
-    of max_passages encodings go to the driver (28 MB at the defaults)."""
+    """Fitted on labelled rows that aren't held out; at most ``max_train`` documents
+    with ``max_passages`` encodings together go to the driver (24 MB at the defaults)."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     known = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_train)
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")  # max_train rows at most
-    got = own.select("id", "label", "text").mapInArrow(_encoder(max_passages), "id long, label int, x binary")
-    rows = sorted(got.toArrow().to_pylist(), key=lambda r: (r["id"], r["label"], r["x"]))[: 2 * max_train]
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, SIZE) for r in rows]
+    own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    own = own.join(F.broadcast(known), "id")  # max_train rows at most
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / WIDTH))
+    order = ["id", "label", "th"]
+    sizes = own.select(*order, size.alias("n")).orderBy(F.xxhash64("id"), *order).limit(max_train).toArrow()
+    total, chosen = 0, set()  # whole documents only
+    for row in sizes.to_pylist():
+        if total + row["n"] <= max_passages:
+            total += row["n"]
+            chosen.add((row["id"], row["label"], row["th"]))
+    keep = docs.sparkSession.createDataFrame(sorted(chosen, key=str), own.select(*order).schema)
+    own = own.join(F.broadcast(keep), [own[c].eqNullSafe(keep[c]) for c in order], "left_semi")
+    own = own.groupBy(*order).agg(F.first("text").alias("text"))  # a repeated row teaches once
+    got = own.select("id", "label", "text").mapInArrow(_encoder(), "id long, label int, x binary")
+    rows = sorted(got.toArrow().to_pylist(), key=lambda r: (r["id"], r["label"], r["x"]))
+    bags = [np.frombuffer(r["x"], np.float16).reshape(-1, SIZE) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64) if bags else np.empty(0, np.int64)
-    x = np.concatenate(bags) if bags else np.empty((0, SIZE), np.float32)
+    x = np.concatenate(bags) if bags else np.empty((0, SIZE), np.float16)
     return Attention().fit(x, first, np.array([r["label"] for r in rows], float))
 
 
@@ -204,4 +217,4 @@ def score(docs: DataFrame, model: Attention, text: str = "text", out: str = "qua
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(spared(run), T.StructType([*fields, T.StructField(out, T.DoubleType())]))
