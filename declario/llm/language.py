@@ -2,12 +2,15 @@
 
 Characters are lower-cased, anything but letters becomes a space and runs of
 spaces one; n-grams of 1 to 3 characters are hashed into ``2**bits`` buckets.
-The model is a matrix of log-probabilities, buckets by languages, which is
-broadcast (2**bits * languages * 4 bytes: 1 MB for four languages) and gathered
-by bucket for all texts of a batch at once.
+The model is a matrix of log-probabilities, buckets by languages, whose last row
+are the languages' priors. It is broadcast (2**bits * languages * 4 bytes: 1 MB
+for four languages); the texts of a batch are a sparse matrix of buckets by
+texts, and their scores are its product with the model, row sums of gathered
+rows. The score is the posterior probability of the language.
 
 Training counts run on Spark over at most ``max_train`` labelled documents, the
 ones with the smallest hash of their id: that bound is the parameter to raise.
+N-grams count with 0.1 more than they occur, and priors with 1 more.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 ties go to the language first in order; rows without language or id teach
@@ -26,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from declario.llm.common import free_name, held_out
+from declario.llm.common import free_name, held_out, spared
 
-CHARS = 1 << 20  # a text is read in stretches of so many characters
+CHARS = 1 << 16  # texts are read together up to so many characters, longer ones in stretches
 ORDERS = (1, 2, 3)
-EVIDENCE = 60.0  # n-grams that count as independent evidence for the score
 
 
 @lru_cache(1)
@@ -73,21 +75,61 @@ def stretches(text: str) -> Iterator[str]:
         yield text[i : i + CHARS]
 
 
+def together(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(row numbers, texts) of about CHARS characters; a long text comes in stretches."""
+    rows, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in stretches(text or ""):
+            if parts and size + len(part) > CHARS:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield rows, parts
+
+
+def sparse(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order of n-grams (buckets, which text, ascending); texts are framed by spaces."""
+    c = letters()[np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    of = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    space = c == 32
+    keep = np.ones(len(c), bool)
+    keep[1:] = ~(space[1:] & space[:-1] & (of[1:] == of[:-1]))
+    keep &= (np.bincount(of[~space], minlength=len(texts)) > 0)[of]
+    c, of = c[keep].astype(np.uint64), of[keep]
+    for n in ORDERS:
+        if len(c) < n:
+            return
+        h = np.full(len(c) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = (h + c[i : len(c) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = of[: len(of) - n + 1] == of[n - 1 :]
+        yield ((h[inside] >> np.uint64(64 - bits - 8)) & np.uint64((1 << bits) - 1)).astype(np.int32), of[: len(of) - n + 1][inside]
+
+
 def _counter(languages: list[str], bits: int):
+    """Counts by (language, bucket); bucket -1 counts the texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << bits), np.int64)
+        total = np.zeros((len(languages), (1 << bits) + 1), np.int64)
         number = {x: i for i, x in enumerate(languages)}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for part in stretches(text.as_py() or ""):
-                    total[number[lang]] += np.bincount(buckets(normalise(part), bits), minlength=1 << bits)
+            langs = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            total[:, -1] += np.bincount(langs, minlength=len(languages))
+            for rows, parts in together(b.column(1).to_pylist()):
+                own = langs[np.array(rows)] * total.shape[1]
+                for found, of in sparse(parts, bits):
+                    np.add.at(total.reshape(-1), own[of] + found, 1)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])],
             names=["lang", "bucket", "n"],
         )
 
-    return count
+    return spared(count)
 
 
 def train(
@@ -100,38 +142,42 @@ def train(
     sample = known.join(F.broadcast(chosen), "id").select("lang", "text")  # at most max_train ids
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     counts = sample.mapInArrow(_counter(languages, bits), "lang int, bucket int, n long")
-    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * 2**bits rows at most
-    total = np.full((1 << bits, max(1, len(languages))), 0.1)
+    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * (2**bits + 1) rows at most
+    total = np.full(((1 << bits) + 1, max(1, len(languages))), 0.1)
+    total[-1] = 1.0
     total[got["bucket"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
-    return languages, np.log(total / total.sum(axis=0)).astype(np.float32)
-
-
-def classify(text: str | None, logp: np.ndarray, bits: int) -> tuple[int, float]:
-    """(language number, score), or (-1, 0) if there is no letter."""
-    total, n = np.zeros(logp.shape[1]), 0
-    for part in stretches(text or ""):
-        b = buckets(normalise(part), bits)
-        total += logp[b].sum(axis=0, dtype=np.float64)
-        n += len(b)
-    if not n:
-        return -1, 0.0
-    odds = total * min(1.0, EVIDENCE / n)
-    best = int(np.argmax(odds))
-    return best, float(1 / np.exp(odds - odds[best]).sum())
+    logp = np.concatenate([np.log(total[:-1] / total[:-1].sum(axis=0)), np.log(total[-1:] / total[-1].sum())])
+    return languages, logp.astype(np.float32)
+
+
+def classify(texts: list[str | None], logp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(language numbers, scores) of texts; -1 and 0 where there is no letter."""
+    total, any_ = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts), bool)
+    for rows, parts in together(texts):
+        for found, of in sparse(parts, bits):
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(first):
+                own = np.array(rows)[of[first]]
+                np.add.at(total, own, np.add.reduceat(logp[found], first, axis=0, dtype=np.float64))
+                any_[own] = True
+    total += logp[-1]
+    best = total.argmax(axis=1) if len(texts) else np.empty(0, np.int64)
+    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if len(texts) else np.empty(0)
+    return np.where(any_, best, -1), np.where(any_, score, 0.0)
 
 
 def _classifier(languages: list[str], model, bits: int, text_at: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([*languages, "und"], pa.string())
         for b in batches:
-            got = [classify(x.as_py(), model.value, bits) if languages else (-1, 0.0) for x in b.column(text_at)]
-            cols = [
-                pa.array([languages[i] if i >= 0 else "und" for i, _ in got], pa.string()),
-                pa.array([s for _, s in got], pa.float64()),
-            ]
+            lang, score = classify(b.column(text_at).to_pylist(), model.value, bits)
+            if not languages:
+                lang, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            cols = [names.take(pa.array(np.where(lang < 0, len(languages), lang))), pa.array(score, pa.float64())]
             found = pa.StructArray.from_arrays(cols, names=["lang", "score"])
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, out])
 
-    return run
+    return spared(run)
 
 
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
