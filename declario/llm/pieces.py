@@ -44,9 +44,9 @@ SPACE = "▁"
 BASE = np.uint64(0x5851F42D4C957F2D)  # of the hash of pieces
 EDGES = 2_000_000  # with more edges a worker forgets its less used words
 CHARS = 400_000  # texts are searched together up to so many characters
-LEARNED = 4096  # words learned at once
+LEARNED = 16384  # words learned at once
 BITS = 17  # of the tables that say which hashes of pieces there may be
-SLOTS = 18  # bits of the table that finds a word by its hash
+SLOTS = 20  # bits of the table that finds a word by its hash
 
 
 def default_model() -> str:
