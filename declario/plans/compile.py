@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from declario.functions import casts, variants
+from declario.operators.shared import items
 from declario.plans.mapping import Keyed, Mapping, Rule
 from declario.plans.model import Attribute, Model, Reference
 
@@ -206,7 +207,7 @@ def unkey(text: Column, key: str, value_schema: str) -> Column:
 
 def read_keyed(df: DataFrame, keyed: Keyed, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents that are maps: one row of the model for each member, in no order."""
-    entries = F.explode(F.map_entries(members(F.col(column)))).alias("_e")
+    entries = items(df, F.map_entries(members(F.col(column))), "_e", *keep)
     key, value = F.col("_e.key"), F.col("_e.value")
     model, fields = keyed.mapping.model, []
     rules = {r.to: r for r in keyed.mapping.all()}
@@ -220,7 +221,7 @@ def read_keyed(df: DataFrame, keyed: Keyed, column: str = "value", keep: tuple[s
         else:
             path = (where,) if isinstance(where, str) else where
             fields.append(attribute(obj, Rule((path[-1],), a.name, path=tuple(path[:-1])), a).alias(a.name))
-    return df.select(*keep, entries).select(*keep, *fields)
+    return entries.select(*keep, *fields)
 
 
 def write_keyed(df: DataFrame, keyed: Keyed, by: tuple[str, ...], fmt: str = "json", column: str = "value") -> DataFrame:
@@ -242,11 +243,11 @@ def write_keyed(df: DataFrame, keyed: Keyed, by: tuple[str, ...], fmt: str = "js
 def read_instances(df: DataFrame, name: str, mapping: Mapping, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents whose member ``name`` is an array of items: a row of the model for
     each, with its place."""
-    items = F.posexplode(F.from_json(F.try_element_at(members(F.col(column)), F.lit(name)), "array<string>")).alias("pos", "_i")
-    return read_frame(df.select(*keep, items), mapping, "_i", (*keep, "pos"))
+    listed = F.from_json(F.try_element_at(members(F.col(column)), F.lit(name)), "array<string>")
+    return read_frame(items(df, listed, "_i", *keep, pos="pos"), mapping, "_i", (*keep, "pos"))
 
 
 def with_parent(df: DataFrame, parent: str, children: str, keep: tuple[str, ...]) -> DataFrame:
     """Items of a nested collection as rows that can see their parent and its place."""
     kept = F.struct(*(F.col(f"{parent}.{k}") for k in keep)).alias("parent")
-    return df.select(kept, F.posexplode(f"{parent}.{children}").alias("pos", "_i")).select("parent", "pos", "_i.*")
+    return items(df, f"{parent}.{children}", "_i", kept, pos="pos").select("parent", "pos", "_i.*")

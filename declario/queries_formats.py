@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from declario.functions import casts, iri, strings
 from declario.operators import consolidate, diff, refs, triples, validate
 from declario.operators.collection import Collection, array_put
+from declario.operators.shared import items
 from declario.plans import compile as plans
 from declario.plans import xml
 from declario.plans.mapping import Keyed, Mapping, Rule, Transformer, field_
@@ -34,7 +35,7 @@ def q54_xml_mapping(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     docs = xml.write_frame(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "lines"), ORDER_XML)
-    return xml.read_frame(docs, ORDER_XML).select("id", "status", F.explode("lines").alias("l")).select("id", "status", "l.*")
+    return items(xml.read_frame(docs, ORDER_XML), "lines", "l", "id", "status").select("id", "status", "l.*")
 
 
 def _nation_xml(spark, sf_dir):
@@ -78,7 +79,7 @@ def q59_xml_rootless_and_cdata(spark, sf_dir):
     item = F.concat(F.lit('<n id="'), F.col("n_nationkey").cast("string"), F.lit('">'), text.cdata(F.col("n_name")), F.lit("</n>"))
     docs = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.collect_list(item), "\n").alias("value"))
     got = text.rootless(docs, "value", "n array<struct<_id: int, _VALUE: string>>")
-    return got.select("region", F.explode("value.n").alias("n")).select("region", F.col("n._id").alias("id"), F.col("n._VALUE").alias("name"))
+    return items(got, "value.n", "n", "region").select("region", F.col("n._id").alias("id"), F.col("n._VALUE").alias("name"))
 
 
 @query("SELECT o_custkey AS cust, o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders")
