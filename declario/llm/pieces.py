@@ -90,6 +90,20 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+def largest(x: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the ``k`` largest ``x`` of each group, ties to the first; groups stand together."""
+    x, out = x.copy(), []
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(first, len(group)))
+    for _ in range(min(k, sizes.max(initial=0))):
+        most = np.maximum.reduceat(x, first)
+        hit = np.flatnonzero(x == np.repeat(np.where(most > -np.inf, most, np.nan), sizes))
+        hit = hit[np.diff(group[hit], prepend=-1) > 0]
+        out.append(hit)
+        x[hit] = -np.inf
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 class Lattices:
     """The words seen so far, as one array of edges by start node, longest first.
 
@@ -101,7 +115,7 @@ class Lattices:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model, num_threads=1)  # a worker has one core
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.piece = {sp.id_to_piece(i): i for i in ids}
         self.longest = max(map(len, self.piece))
@@ -475,9 +489,7 @@ class Batch:
             places, edges, before = places[near], edges[near], before[near]
             noise = -np.log(uniform(self.keys[chosen][own], 1000 + s, places - self.from_[chosen][own]))
             bound = where - np.log(np.exp(np.minimum(where - value[chosen][own], 700.0)) + noise)
-            rank = np.lexsort((-bound, own))
-            place = np.arange(len(rank)) - np.searchsorted(own[rank], own[rank])
-            for i in rank[place < wanted]:  # of each path no more regions can be needed
+            for i in largest(bound, own, wanted).tolist():  # of each path no more regions can be needed
                 d, at = int(chosen[own[i]]), int(places[i])
                 gone = fork[d][2] if at == fork[d][0] else ()
                 heapq.heappush(queue[d], (-float(bound[i]), s - 1, at, float(before[i]), (*gone, int(edges[i]))))

@@ -424,3 +424,24 @@ def test_unclosed_tags_take_linear_time():
 
     seconds(1000)
     assert seconds(40_000) < 40 * max(0.05, seconds(4_000))
+
+
+def test_largest_of_each_group():
+    x = np.array([1.0, 3, 3, -np.inf, 2, -np.inf, 5])
+    group = np.array([0, 0, 0, 0, 1, 1, 4])
+    for k in (0, 1, 2, 3, 9):
+        rank = np.lexsort((-x, group))
+        place = np.arange(len(rank)) - np.searchsorted(group[rank], group[rank])
+        want = [i for i in rank[place < k].tolist() if x[i] > -np.inf]
+        assert sorted(pieces.largest(x, group, k).tolist()) == sorted(want)
+    assert len(pieces.largest(x[:0], group[:0], 2)) == 0
+
+
+def test_a_worker_encodes_on_its_own_core(lattices, monkeypatch):
+    """Threads of the tokenizer cost more than they encode; a task has one core."""
+    asked = []
+    for name in ("_decode_raw",):
+        real = getattr(lattices.sp, name)
+        monkeypatch.setattr(lattices.sp, name, lambda *a, real=real, **k: (asked.append(a[2]), real(*a, **k))[1])
+    pieces.encode_batch(lattices, ["one text", "another one"], np.arange(2, dtype=np.uint64), 2)
+    assert lattices.sp._num_threads == 1 and asked and set(asked) == {1}
